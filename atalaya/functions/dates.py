@@ -20,8 +20,8 @@ def _number(c: Column) -> Column:
 
 
 def _midnight(year: Column, month: Column, day: Column) -> Column:
-    made = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    return F.when(year >= 1, made)
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(F.nullif(year, zero), month, day, zero, zero, zero)
 
 
 def _month_number(name: Column) -> Column:
@@ -42,34 +42,32 @@ def parse_date_es(raw: Column) -> Column:
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 
+    def numbers(pattern: str, *groups: int) -> list[Column]:
+        return [_number(part(pattern, g)) for g in groups]
+
     long_form = FOLD + fixed.LONG_DATE
+    year, day = numbers(long_form, 3, 1)
     month = _month_number(part(long_form, 2))
-    return (
-        F.when(
-            month.isNotNull(),
-            _midnight(_number(part(long_form, 3)), month, _number(part(long_form, 1))),
-        )
-        .when(text.rlike(fixed.SLASH_DATE), _dmy(part, fixed.SLASH_DATE))
-        .when(text.rlike(fixed.DASH_DATE), _dmy(part, fixed.DASH_DATE))
-        .when(
-            text.rlike(fixed.ISO_DATE),
-            _midnight(*[_number(part(fixed.ISO_DATE, g)) for g in (1, 2, 3)]),
-        )
+    short_form = F.coalesce(
+        _midnight(*numbers(fixed.SLASH_DATE, 3, 2, 1)),
+        _midnight(*numbers(fixed.DASH_DATE, 3, 2, 1)),
+        _midnight(*numbers(fixed.ISO_DATE, 1, 2, 3)),
     )
-
-
-def _dmy(part, pattern: str) -> Column:
-    return _midnight(*[_number(part(pattern, g)) for g in (3, 2, 1)])
+    return F.when(month.isNotNull(), _midnight(year, month, day)).otherwise(short_form)
 
 
 def spark_format(fmt: Column) -> Column:
     """A ``%d/%m/%Y`` style format as a Spark datetime pattern, per row."""
-    fmt = F.regexp_replace(fmt, r"(?<![%A-Za-z])([A-Za-z]+)", "'$1'")
-    for code, letters in {
+    codes = {
         "%d": "d", "%m": "M", "%B": "M", "%b": "M", "%Y": "yyyy", "%y": "yy",
         "%H": "H", "%M": "m", "%S": "s",
-    }.items():
-        fmt = F.replace(fmt, F.lit(code), F.lit(letters))
+    }
+    marks = [(code, chr(0xE000 + i), letters) for i, (code, letters) in enumerate(codes.items())]
+    for code, mark, _ in marks:
+        fmt = F.replace(fmt, F.lit(code), F.lit(mark))
+    fmt = F.regexp_replace(fmt, r"([A-Za-z]+)", "'$1'")
+    for _, mark, letters in marks:
+        fmt = F.replace(fmt, F.lit(mark), F.lit(letters))
     return fmt
 
 

@@ -2,7 +2,7 @@
 
 Spark has no HTML reader, so one Arrow job turns a page into its nodes in
 document order. A node's subtree is then a contiguous slice of the array
-(``ord`` + 1 .. ``last``), and selectors, texts and ancestors are plain
+(``ord`` .. ``last``), and selectors, texts and ancestors are plain
 array expressions.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atalaya.functions.text import strip
+
 NODE = T.StructType(
     [
         T.StructField("ord", T.IntegerType()),
@@ -150,11 +152,13 @@ def _matches(n: Column, compound: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def select_nodes(subtree: Column, selector: str) -> Column:
-    """Nodes of a subtree that match a selector, in document order.
+def select_nodes(nodes: Column, selector: str, below: Column | None = None) -> Column:
+    """Nodes that match a selector, in document order.
 
     Grammar: compounds of tag, class, id and attribute tests, descendant and
-    child steps, comma lists.
+    child steps, comma lists. ``nodes`` is a whole page or the slice of one
+    element; for a slice, ``below`` is the element itself, which can be an
+    ancestor in the selector but is not a match.
     """
 
     def hit(n: Column, steps: list[str]) -> Column:
@@ -167,7 +171,7 @@ def select_nodes(subtree: Column, selector: str) -> Column:
         above = lambda a: (
             (a.ord == n.parent) if child else ((a.ord < n.ord) & (n.ord <= a.last))
         )
-        return test & F.exists(subtree, lambda a: above(a) & hit(a, rest))
+        return test & F.exists(nodes, lambda a: above(a) & hit(a, rest))
 
     choices = [re.sub(r"\s*>\s*", " > ", s.strip()).split() for s in selector.split(",")]
 
@@ -175,33 +179,33 @@ def select_nodes(subtree: Column, selector: str) -> Column:
         test = hit(n, choices[0])
         for steps in choices[1:]:
             test = test | hit(n, steps)
-        return test
+        return test if below is None else (n.ord > below.ord) & test
 
-    return F.filter(subtree, any_hit)
+    return F.filter(nodes, any_hit)
 
 
-def first_node(subtree: Column, selector: str) -> Column:
-    return F.try_element_at(select_nodes(subtree, selector), F.lit(1))
+def first_node(nodes: Column, selector: str, below: Column | None = None) -> Column:
+    return F.get(select_nodes(nodes, selector, below), F.lit(0))
 
 
-def subtree_of(all_nodes: Column, n: Column, base: Column | int = 0) -> Column:
-    """The nodes below a node; ``base`` is the ``ord`` of the array's first node."""
-    start = n.ord - base + 2
-    return F.slice(all_nodes, start, n.last - n.ord)
+def slice_of(nodes: Column, n: Column, base: Column | int = 0) -> Column:
+    """An element and all below it; ``base`` is the ``ord`` of the array's first node."""
+    return F.slice(nodes, n.ord - base + 1, n.last - n.ord + 1)
 
 
-def text_of(subtree: Column, separator: str = "") -> Column:
-    """Text below a node: every text piece stripped, joined in order."""
-    pieces = F.filter(subtree, lambda n: n.tag == TEXT)
-    return F.array_join(
-        F.transform(pieces, lambda n: F.regexp_replace(n.text, r"(?U)^\s+|\s+$", "")), separator
-    )
+def text_of(nodes: Column, separator: str = "") -> Column:
+    """Text of a slice: every text piece stripped, joined in order."""
+    pieces = F.filter(nodes, lambda n: n.tag == TEXT)
+    return F.array_join(F.transform(pieces, lambda n: strip(n.text)), separator)
 
 
-def base_of(subtree: Column) -> Column:
-    return F.try_element_at(subtree, F.lit(1)).ord
+def text_in(nodes: Column, box: Column, n: Column) -> Column:
+    """Text of a node found inside the slice of ``box``."""
+    return text_of(slice_of(nodes, n, box.ord))
 
 
-def text_below(subtree: Column, n: Column) -> Column:
-    """Text of a node found inside a subtree slice."""
-    return text_of(subtree_of(subtree, n, base_of(subtree)))
+def ancestor(nodes: Column, n: Column, up: int) -> Column:
+    """The node ``up`` levels above, NULL beyond the root."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(up)), n, lambda above, _: F.get(nodes, above.parent)
+    )

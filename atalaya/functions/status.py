@@ -29,14 +29,6 @@ def normalize_status(raw: Column, strict: bool = True) -> Column:
     return result.otherwise(fixed.UNKNOWN_STATUS)
 
 
-def is_live_status(status: Column) -> Column:
-    return status.isin(fixed.LIVE_STATUSES)
-
-
-def is_closed_status(status: Column) -> Column:
-    return status.isin(fixed.CLOSED_STATUSES)
-
-
 def status_family(status: Column) -> Column:
     """Display family of a status text, by substring."""
     text = F.upper(F.coalesce(status, F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\x0b\u0085\u00a0\u2028\u2029\u3000"
@@ -88,3 +88,13 @@ def strict_json(c: Column) -> Column:
     in_object = F.try_parse_json(F.concat(F.lit('[{"v":'), c, F.lit("\n}]")))
     in_list = F.try_parse_json(F.concat(F.lit('{"v":['), c, F.lit("\n]}")))
     return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$[0].v", "variant"))
+
+
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters use without computing them again.
+
+    A filter moves below a plain projection and takes its expressions along,
+    so they would run twice; it does not move below a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

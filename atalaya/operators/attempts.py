@@ -19,18 +19,17 @@ def run_outcomes(attempts: DataFrame) -> DataFrame:
     got = F.col("fetched") & (F.coalesce("items", F.lit(0)) > 0)
     empty = F.col("fetched") & (F.col("items") == 0) & F.col("explicit_empty")
     ends = attempts.groupBy(*RUN).agg(
-        F.min(F.when(got, F.col("step"))).alias("ok_step"),
+        F.min(F.when(got, F.struct("step", "items"))).alias("ok"),
         F.min(F.when(empty, F.col("step"))).alias("empty_step"),
         F.bool_or("fetched").alias("any_fetch"),
-        F.min_by(F.when(got, F.col("items")), F.when(got, F.col("step"))).alias("ok_items"),
     )
-    wins = F.col("ok_step").isNotNull() & (
-        F.col("empty_step").isNull() | (F.col("ok_step") < F.col("empty_step"))
+    wins = F.col("ok.step").isNotNull() & (
+        F.col("empty_step").isNull() | (F.col("ok.step") < F.col("empty_step"))
     )
     return ends.select(
         *RUN,
-        F.when(wins, F.col("ok_step")).otherwise(F.col("empty_step")).alias("step"),
-        F.when(wins, F.col("ok_items")).otherwise(F.lit(0)).alias("total_items"),
+        F.when(wins, F.col("ok.step")).otherwise(F.col("empty_step")).alias("step"),
+        F.when(wins, F.col("ok.items")).otherwise(F.lit(0)).alias("total_items"),
         F.when(wins, "SUCCESS")
         .when(F.col("empty_step").isNotNull(), "SUCCESS_EMPTY")
         .when(~F.col("any_fetch"), "FETCH_FAILED")

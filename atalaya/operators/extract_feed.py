@@ -9,7 +9,7 @@ from atalaya import fixed_values as fixed
 from atalaya.functions.amounts import find_amount
 from atalaya.functions.dates import find_date
 from atalaya.functions.status import normalize_status
-from atalaya.functions.text import any_of, strip, surrogate_id
+from atalaya.functions.text import any_of, compute_once, strip, surrogate_id
 
 VALUE = "struct<_VALUE:string,_href:string>"
 RSS_ITEM = (
@@ -55,7 +55,7 @@ def read_feeds(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
     doc = F.from_xml(
         F.col(body), FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
-    read = captures.withColumns({"_root": root, "_doc": doc})
+    read = compute_once(captures, _root=root, _doc=doc)
     rss = F.transform(F.col("_doc.channel.item"), lambda e: _item(e, atom=False))
     atom = F.transform(F.col("_doc.entry"), lambda e: _item(e, atom=True))
     entries = F.coalesce(F.when(F.col("_root") == "rss", rss).otherwise(atom), F.array().cast(
@@ -65,7 +65,8 @@ def read_feeds(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
     usable = lambda e: (
         F.concat_ws(" ", e.titulo, e.texto).rlike(keyword) & (e.titulo != "")
     )
-    listed = read.withColumn("_all", entries).withColumn("_usable", F.filter("_all", usable))
+    listed = compute_once(read, _all=entries)
+    listed = compute_once(listed, _usable=F.filter("_all", usable))
     reason = (
         F.when(F.col("_doc._corrupt_record").isNotNull() | (F.col("_root") == ""), "xml_invalido")
         .when(~F.col("_root").isin("rss", "feed"), "no_es_feed")

@@ -14,6 +14,7 @@ from atalaya.functions.status import normalize_status
 from atalaya.functions.text import (
     any_of,
     blank_to_null,
+    compute_once,
     first_group,
     last_segment,
     squeeze_blank,
@@ -43,38 +44,11 @@ class HtmlRule:
     patrones: dict[str, str] = field(default_factory=dict)
 
 
-@dataclass(frozen=True)
-class _Box:
-    """A container while it is being read: the node and what is below it."""
-
-    node: Column
-    below: Column
-
-    def value(self, selector: str | None) -> Column:
-        if not selector:
-            return F.lit(None).cast("string")
-        if selector == "self":
-            return blank_to_null(dom.text_of(self.below))
-        if selector.startswith("attr:"):
-            return blank_to_null(self.node.attrs[selector.removeprefix("attr:")])
-        found = dom.first_node(self.below, selector)
-        return blank_to_null(F.when(found.isNotNull(), dom.text_below(self.below, found)))
-
-    def href(self, selector: str | None) -> Column:
-        own = F.when(self.node.tag == "a", self.node.attrs["href"])
-        if not selector:
-            return blank_to_null(own)
-        if selector == "self" or selector.startswith("attr:"):
-            return blank_to_null(self.node.attrs["href"])
-        found = dom.first_node(self.below, selector)
-        return blank_to_null(F.when(found.isNotNull(), found.attrs["href"]).otherwise(own))
-
-
 def containers(nodes: Column, selector: str) -> Column:
-    """Matching nodes, each with its subtree, as one array."""
+    """Matching nodes, each with its own slice of the page, as one array."""
     return F.transform(
         dom.select_nodes(nodes, selector),
-        lambda n: F.struct(n.alias("node"), dom.subtree_of(nodes, n).alias("below")),
+        lambda n: F.struct(n.alias("node"), dom.slice_of(nodes, n).alias("below")),
     )
 
 
@@ -83,6 +57,54 @@ def with_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("_nodes", dom.nodes(F.col(html))).drop(html)
 
 
+def boxes(pages: DataFrame, selector: str) -> DataFrame:
+    """One row per matching element: ``pos``, ``node`` and its slice ``below``."""
+    kept = [c for c in pages.columns if c != "html"]
+    found = compute_once(with_nodes(pages), _boxes=containers(F.col("_nodes"), selector))
+    return found.select(*kept, F.posexplode("_boxes").alias("pos", "_b")).select(
+        *kept, "pos", "_b.node", "_b.below"
+    )
+
+
+def _is_own(selector: str) -> bool:
+    return selector == "self" or selector.startswith("attr:")
+
+
+def with_found(rows: DataFrame, selectors: list[str | None]) -> tuple[DataFrame, dict[str, Column]]:
+    """Look up the first match of each selector once per box."""
+    looked_up = dict.fromkeys(s for s in selectors if s and not _is_own(s))
+    names = {s: f"_found{i}" for i, s in enumerate(looked_up)}
+    found = {
+        n: dom.first_node(F.col("below"), s, F.col("node")) for s, n in names.items()
+    }
+    return (compute_once(rows, **found) if found else rows), {s: F.col(n) for s, n in names.items()}
+
+
+def _value(selector: str | None, found: dict[str, Column]) -> Column:
+    """Text, own text or attribute that a selector gives; blank is NULL."""
+    node, below = F.col("node"), F.col("below")
+    if not selector:
+        return F.lit(None).cast("string")
+    if selector == "self":
+        return blank_to_null(dom.text_of(below))
+    if selector.startswith("attr:"):
+        return blank_to_null(node.attrs[selector.removeprefix("attr:")])
+    hit = found[selector]
+    return blank_to_null(F.when(hit.isNotNull(), dom.text_in(below, node, hit)))
+
+
+def _href(selector: str | None, found: dict[str, Column]) -> Column:
+    """Link of an item; a container that is a link itself is the default."""
+    node = F.col("node")
+    own = F.when(node.tag == "a", node.attrs["href"])
+    if not selector:
+        return blank_to_null(own)
+    if _is_own(selector):
+        return blank_to_null(node.attrs["href"])
+    hit = found[selector]
+    return blank_to_null(F.when(hit.isNotNull(), hit.attrs["href"]).otherwise(own))
+
+
 def _apply(pattern: str | None, text: Column) -> Column:
     """The field's pattern over a text: group 1, else the match; no match, NULL."""
     if not pattern:
@@ -99,28 +121,26 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
     text when the source has a pattern for it. Patterns are applied here and
     marked as applied, so that normalization does not apply them again.
     """
-    boxes = with_nodes(pages).select(
-        *[c for c in pages.columns if c != "html"],
-        F.posexplode(containers(F.col("_nodes"), rule.contenedor_items)).alias("pos", "_box"),
-    )
-    box = _Box(F.col("_box.node"), F.col("_box.below"))
-    pattern = rule.patrones.get
-    title = box.value(rule.titulo)
-    title = F.coalesce(_apply(pattern("titulo"), title), title)
-    ident = title if rule.identificador == rule.titulo else box.value(rule.identificador)
     kept = [c for c in pages.columns if c != "html"]
-    read = boxes.select(
-        *kept,
-        "pos",
-        ident.alias("_ident"),
-        title.alias("titulo"),
-        box.value(rule.descripcion).alias("descripcion"),
-        box.href(rule.link_detalle).alias("_href"),
-        box.value(rule.estado).alias("_estado"),
-        _apply(pattern("fecha_cierre"), box.value(rule.fecha_cierre)).alias("_fecha"),
-        _apply(pattern("monto"), box.value(rule.monto)).alias("_monto"),
-        _apply(pattern("region"), box.value(rule.region)).alias("region"),
-        dom.text_of(box.below).alias("_texto"),
+    pattern = rule.patrones.get
+    selectors = [rule.identificador, rule.titulo, rule.link_detalle] + [getattr(rule, f) for f in FIELDS]
+    rows, found = with_found(boxes(pages, rule.contenedor_items), selectors)
+    title = _value(rule.titulo, found)
+    if pattern("titulo"):
+        title = F.coalesce(_apply(pattern("titulo"), title), title)
+    ident = title if rule.identificador == rule.titulo else _value(rule.identificador, found)
+    needs_text = any(pattern(f) for f in ("fecha_cierre", "monto"))
+    read = compute_once(
+        rows,
+        _ident=ident,
+        titulo=title,
+        descripcion=_value(rule.descripcion, found),
+        _href=_href(rule.link_detalle, found),
+        _estado=_value(rule.estado, found),
+        _fecha=_apply(pattern("fecha_cierre"), _value(rule.fecha_cierre, found)),
+        _monto=_apply(pattern("monto"), _value(rule.monto, found)),
+        region=_apply(pattern("region"), _value(rule.region, found)),
+        _texto=dom.text_of(F.col("below")) if needs_text else F.lit(None).cast("string"),
     )
 
     def or_whole_text(name: str, given: str) -> Column:
@@ -153,20 +173,12 @@ def unwrap_ajax(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame
 # --- links and cards ------------------------------------------------------------
 def page_links(pages: DataFrame) -> DataFrame:
     """Every link of every page: ``pos, href, texto``."""
-    return (
-        with_nodes(pages)
-        .select(
-            *[c for c in pages.columns if c != "html"],
-            F.posexplode(containers(F.col("_nodes"), "a[href]")).alias("pos", "_a"),
-        )
-        .select(
-            *[c for c in pages.columns if c != "html"],
-            "pos",
-            F.col("_a.node.attrs")["href"].alias("href"),
-            blank_to_null(dom.text_of(F.col("_a.below"))).alias("texto"),
-        )
-        .where("href <> ''")
-    )
+    kept = [c for c in pages.columns if c != "html"]
+    return compute_once(
+        boxes(pages, "a[href]"),
+        href=F.col("node").attrs["href"],
+        texto=blank_to_null(dom.text_of(F.col("below"))),
+    ).select(*kept, "pos", "href", "texto").where("href <> ''")
 
 
 def first_per_url(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -181,19 +193,14 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     short. ``page_ord`` orders the pages of a capture.
     """
     kept = [c for c in pages.columns if c != "html"]
-    cards = with_nodes(pages).select(
-        *kept,
-        F.posexplode(containers(F.col("_nodes"), "div[style*='background-color']")).alias("pos", "_c"),
-    )
-    below = F.col("_c.below")
-    head, button, para = (dom.first_node(below, s) for s in ("h2", "a.btn", "p"))
-    read = cards.select(
-        *kept,
-        "pos",
-        F.when(head.isNotNull(), dom.text_below(below, head)).alias("titulo"),
-        button.attrs["href"].alias("href"),
-        F.when(para.isNotNull(), dom.text_below(below, para)).alias("_p"),
-    ).where(F.col("titulo").isNotNull() & F.col("href").contains("/programas/"))
+    rows, found = with_found(boxes(pages, "div[style*='background-color']"), ["h2", "a.btn", "p"])
+    read = compute_once(
+        rows,
+        titulo=_value("h2", found),
+        href=found["a.btn"].attrs["href"],
+        _p=_value("p", found),
+    ).where(found["h2"].isNotNull() & F.col("href").contains("/programas/"))
+    read = read.drop("node", "below", *[f"_found{i}" for i in range(3)])
     firsts = first_per_url(
         read.withColumn("url_detalle", resolve_url(F.col("href"), F.lit(base_url))),
         keys,
@@ -258,18 +265,14 @@ def _keep_unseen(rows: Column) -> Column:
 
 
 def _news_links(nodes: Column, up: int) -> Column:
-    """News links with the text of the ancestor ``up`` levels above each."""
+    """News links, each with the element ``up`` levels above it."""
 
     def row(n: Column) -> Column:
-        above = n
-        for _ in range(up):
-            above = F.when(above.parent >= 0, F.try_element_at(nodes, above.parent + 1))
-        context = F.when(above.isNotNull(), dom.text_of(dom.subtree_of(nodes, above), " "))
         return F.struct(
             n.ord.alias("pos"),
             n.attrs["href"].alias("href"),
-            dom.text_of(dom.subtree_of(nodes, n)).alias("titulo"),
-            context.alias("contexto"),
+            dom.text_of(dom.slice_of(nodes, n)).alias("titulo"),
+            dom.ancestor(nodes, n, up).alias("_above"),
         )
 
     wanted = F.filter(
@@ -279,20 +282,37 @@ def _news_links(nodes: Column, up: int) -> Column:
     return F.filter(F.transform(wanted, row), lambda r: F.length(r.titulo) >= 15)
 
 
+def _with_context(nodes: Column, links: Column) -> Column:
+    """The kept links with the text of the element around each."""
+    return F.transform(
+        links,
+        lambda r: F.struct(
+            r.pos,
+            r.href,
+            r.titulo,
+            dom.text_of(dom.slice_of(nodes, r["_above"]), " ").alias("contexto"),
+        ),
+    )
+
+
 def extract_news(pages: DataFrame, base_url: str) -> DataFrame:
     """News links with the date and text around them, the relevant ones only."""
     kept = [c for c in pages.columns if c != "html"]
-    rows = (
-        with_nodes(pages)
-        .select(*kept, _keep_unseen(_news_links(F.col("_nodes"), 6)).alias("_links"))
-        .select(*kept, F.inline("_links"))
+    nodes = F.col("_nodes")
+    found = compute_once(with_nodes(pages), _links=_news_links(nodes, 6))
+    unseen = compute_once(found, _unseen=_keep_unseen(F.col("_links")))
+    rows = compute_once(unseen, _news=_with_context(nodes, F.col("_unseen"))).select(
+        *kept, F.inline("_news")
     )
     title, context = F.col("titulo"), F.coalesce("contexto", F.lit(""))
-    date = strip(F.regexp_extract(context, "(?U)" + fixed.NEWS_DATE, 0))
+    dated = compute_once(
+        rows, _date=strip(F.regexp_extract(context, "(?U)" + fixed.NEWS_DATE, 0))
+    )
     body = F.replace(context, title, F.lit(""))
+    date = F.col("_date")
     body = F.when(date == "", body).otherwise(F.replace(body, date, F.lit("")))
     body = strip(F.regexp_replace(strip(body), "(?U)" + fixed.NEWS_LEFTOVERS, ""))
-    read = rows.withColumn("_body", body)
+    read = compute_once(dated, _body=body)
     both = F.concat_ws(" ", title, F.col("_body"))
     return read.where(both.rlike(any_of(fixed.NEWS_KEYWORDS))).select(
         *kept,
@@ -345,18 +365,14 @@ def clean_pages(pages: DataFrame) -> DataFrame:
         ),
     )
     # Nested noise adds nothing: the pieces to drop are those in any noise span.
-    text = F.filter(
+    clean = F.filter(
         nodes,
         lambda n: (n.tag == dom.TEXT)
         & ~F.exists(F.col("_noise"), lambda x: (x.ord < n.ord) & (n.ord <= x.last)),
     )
-    return (
-        with_nodes(pages)
-        .withColumn("_noise", noise)
-        .select(
-            *[c for c in pages.columns if c != "html"],
-            squeeze_blank(F.array_join(F.transform(text, lambda n: strip(n.text)), "\n")).alias("texto"),
-        )
+    text = F.array_join(F.transform(clean, lambda n: strip(n.text)), "\n")
+    return compute_once(with_nodes(pages), _noise=noise).select(
+        *[c for c in pages.columns if c != "html"], squeeze_blank(text).alias("texto")
     )
 
 

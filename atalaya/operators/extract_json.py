@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
 from atalaya.functions.status import normalize_status
-from atalaya.functions.text import blank_to_null, strict_json
+from atalaya.functions.text import blank_to_null, compute_once, strict_json
 
 TEXT_FIELDS = ["titulo", "descripcion", "estado", "fecha_apertura", "fecha_cierre", "monto", "region"]
 
@@ -71,10 +71,9 @@ def extract_json(
         fields["grupo"] = text(v, mapping.agrupar_por)
         return F.struct(i.alias("pos"), *[c.alias(n) for n, c in fields.items()])
 
-    parsed = captures.withColumn("_doc", strict_json(F.col(body))).withColumn(
-        "_list", at_path(F.col("_doc"), mapping.root_path, "array<variant>")
-    )
-    items = parsed.withColumn("items", F.transform("_list", item))
+    parsed = compute_once(captures, _doc=strict_json(F.col(body)))
+    parsed = compute_once(parsed, _list=at_path(F.col("_doc"), mapping.root_path, "array<variant>"))
+    items = compute_once(parsed, items=F.transform("_list", item))
     incomplete = F.exists("items", lambda x: x.identificador.isNull() | x.titulo.isNull())
     reason = (
         F.when(F.col("_doc").isNull(), "json_invalido")

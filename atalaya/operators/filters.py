@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
 from atalaya.functions.dates import at, months_before, parse_date_es
-from atalaya.functions.status import is_closed_status, is_live_status, normalize_status
-from atalaya.functions.text import any_of, contains_fold
+from atalaya.functions.status import normalize_status
+from atalaya.functions.text import any_of, compute_once, contains_fold
 
 
 # --- relevance --------------------------------------------------------------
@@ -61,13 +61,13 @@ def liveness_reason(
 ) -> Column:
     """Why a call is not live: by status, by age window or by date; NULL = live."""
     now = at(as_of)
-    status = normalize_status(status)
-    reason = F.when(is_closed_status(status), "estado")
-    if months > 0:
-        reason = reason.when(
-            is_live_status(status) & (closing < months_before(now, months)), "ventana"
-        )
-    return reason.when(~is_live_status(status) & (closing < now), "fecha")
+    aged = F.when(closing < months_before(now, months), "ventana") if months > 0 else F.lit(None)
+    none = F.lit(None).cast("string")
+    reasons = {s: F.lit("estado") for s in fixed.CLOSED_STATUSES}
+    reasons |= {s: F.coalesce(aged, none) for s in fixed.LIVE_STATUSES}
+    reasons[fixed.UNKNOWN_STATUS] = F.when(closing < now, "fecha")
+    by_status = F.create_map(*[x for s, r in reasons.items() for x in (F.lit(s), r)])
+    return F.try_element_at(by_status, normalize_status(status))
 
 
 def filter_live(df: DataFrame, as_of, months: int = fixed.LIVENESS_MONTHS) -> DataFrame:
@@ -77,8 +77,9 @@ def filter_live(df: DataFrame, as_of, months: int = fixed.LIVENESS_MONTHS) -> Da
 
 def filter_live_raw(df: DataFrame, as_of, months: int = fixed.LIVENESS_MONTHS) -> DataFrame:
     """Same over raw rows whose closing date is still text; unreadable dates keep."""
-    closing = parse_date_es(F.col("fecha_cierre"))
-    return df.where(liveness_reason(F.col("estado"), closing, as_of, months).isNull())
+    read = compute_once(df, _closing=parse_date_es(F.col("fecha_cierre")))
+    reason = liveness_reason(F.col("estado"), F.col("_closing"), as_of, months)
+    return read.where(reason.isNull()).drop("_closing")
 
 
 def live_summary(df: DataFrame, as_of, months: int = fixed.LIVENESS_MONTHS) -> DataFrame:

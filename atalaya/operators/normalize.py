@@ -9,7 +9,7 @@ from atalaya import fixed_values as fixed
 from atalaya.functions.amounts import AMOUNT, parse_amount
 from atalaya.functions.dates import at, parse_date_es, parse_date_fmt
 from atalaya.functions.status import normalize_status
-from atalaya.functions.text import rule_extract, stable_key
+from atalaya.functions.text import compute_once, rule_extract, stable_key
 from atalaya.functions.urls import join_rooted
 
 
@@ -30,36 +30,39 @@ def normalize_items(items: DataFrame, rules: DataFrame, as_of) -> DataFrame:
         return F.nullif(F.col(name), F.lit(""))
 
     raw_date, raw_amount = given("fecha_cierre"), given("monto")
-    date_text = F.when(done, raw_date).otherwise(rule_extract(raw_date, F.col("fecha_regex")))
-    amount_text = F.when(done, raw_amount).otherwise(rule_extract(raw_amount, F.col("monto_regex")))
     by_rule = F.coalesce(F.col("fecha_normaliza"), F.lit(False))
     has_format = F.col("fecha_formato").isNotNull()
     amount_rule = F.coalesce(F.col("monto_normaliza"), F.lit(False))
 
-    closing = F.when(
-        by_rule, F.when(has_format, parse_date_fmt(date_text, F.col("fecha_formato")))
-    ).otherwise(parse_date_es(raw_date))
-    amount = F.when(amount_rule, parse_amount(amount_text))
-    status = normalize_status(F.col("estado"))
-
-    read = items.join(rules, "fuente_id", "left").withColumns(
-        {
-            "_closing": closing,
-            "_amount": amount,
-            "_status": status,
-            "_no_date": by_rule
-            & raw_date.isNotNull()
-            & (date_text.isNull() | (has_format & closing.isNull())),
-            "_no_amount": amount_rule & raw_amount.isNotNull() & amount.isNull(),
-        }
+    texts = compute_once(
+        items.join(rules, "fuente_id", "left"),
+        _date_text=F.when(done, raw_date).otherwise(rule_extract(raw_date, F.col("fecha_regex"))),
+        _amount_text=F.when(done, raw_amount).otherwise(
+            rule_extract(raw_amount, F.col("monto_regex"))
+        ),
+    )
+    read = compute_once(
+        texts,
+        _closing=F.when(
+            by_rule,
+            F.when(has_format, parse_date_fmt(F.col("_date_text"), F.col("fecha_formato"))),
+        ).otherwise(parse_date_es(raw_date)),
+        _amount=F.when(amount_rule, parse_amount(F.col("_amount_text"))),
+        _status=normalize_status(F.col("estado")),
+    )
+    no_date = (
+        by_rule
+        & raw_date.isNotNull()
+        & (F.col("_date_text").isNull() | (has_format & F.col("_closing").isNull()))
     )
+    no_amount = amount_rule & raw_amount.isNotNull() & F.col("_amount").isNull()
     reason = (
         F.when(given("identificador").isNull(), "sin_identificador")
         .when(given("titulo").isNull(), "sin_titulo")
         .when(given("url_detalle").isNull(), "sin_url")
-        .when(F.col("_no_date"), "fecha_invalida")
+        .when(no_date, "fecha_invalida")
         .when(F.col("_closing") < now, "expirada")
-        .when(F.col("_no_amount"), "monto_invalido")
+        .when(no_amount, "monto_invalido")
     )
     opened = (F.col("_status") == fixed.UNKNOWN_STATUS) & (F.col("_closing") >= now)
     carried = [c for c in ("snapshot_id", "pos") if c in items.columns]

@@ -109,8 +109,8 @@ def quality_report_md(report: DataFrame) -> DataFrame:
     """The report's table rows as markdown, one line per source."""
 
     def pct(name: str) -> Column:
-        shown = F.concat(F.format_number(F.bround(F.col(name).cast("decimal(20,10)"), 1), "0.0"), F.lit("%"))
-        return F.coalesce(shown, F.lit("-"))
+        shown = F.format_string("%.1f%%", F.bround(F.col(name).cast("decimal(20,10)"), 1))
+        return F.when(F.col(name).isNull(), "-").otherwise(shown)
 
     line = F.concat(
         F.lit("| "),

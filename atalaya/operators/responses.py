@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
 from atalaya.functions.status import normalize_status
-from atalaya.functions.text import blank_to_null, first_group, strict_json, strip
+from atalaya.functions.text import blank_to_null, compute_once, first_group, strict_json, strip
 
 
 def recover_json(text: Column) -> Column:
@@ -63,11 +63,9 @@ def item_list(doc: Column) -> Column:
 def recover_items(responses: DataFrame, text: str = "text") -> DataFrame:
     """One row per item object of each response: ``pos, item`` (variant)."""
     kept = [c for c in responses.columns if c != text]
-    return (
-        responses.withColumn("_doc", recover_json(F.col(text)))
-        .withColumn("_items", item_list(F.col("_doc")))
-        .select(*kept, F.posexplode("_items").alias("pos", "item"))
-    )
+    read = compute_once(responses, _doc=recover_json(F.col(text)))
+    listed = compute_once(read, _items=item_list(F.col("_doc")))
+    return listed.select(*kept, F.posexplode("_items").alias("pos", "item"))
 
 
 def responses_to_items(rows: DataFrame) -> DataFrame:
