@@ -109,8 +109,8 @@ def quality_report_md(report: DataFrame) -> DataFrame:
     """The report's table rows as markdown, one line per source."""
 
     def pct(name: str) -> Column:
-        shown = F.format_string("%.1f%%", F.bround(F.col(name).cast("decimal(20,10)"), 1))
-        return F.when(F.col(name).isNull(), "-").otherwise(shown)
+        shown = F.bround(F.col(name).cast("decimal(20,10)"), 1).cast("decimal(5,1)").cast("string")
+        return F.coalesce(F.concat(shown, F.lit("%")), F.lit("-"))
 
     line = F.concat(
         F.lit("| "),

@@ -15,7 +15,7 @@ from atalaya.operators import extract_html as pages_html
 from atalaya.operators import extract_json as json_items
 from atalaya.operators import responses
 from atalaya.plans.registry import query
-from atalaya.plans.tables import cte, read, view
+from atalaya.plans.tables import cte, read, spread, view
 from atalaya.sources import captures, paging, profiles, rules
 
 C = F.col
@@ -191,7 +191,7 @@ def extract_tokens(spark, d):
 # --- HTML ---------------------------------------------------------------------
 def _listing(spark, d, parts: str) -> DataFrame:
     """One page per order: three copies of a card, numbered by ``n``."""
-    return read(spark, d, "orders").selectExpr(
+    return spread(read(spark, d, "orders")).selectExpr(
         "o_orderkey", "'https://portal.example.org/lista/' as url_base",
         f"'<html><head><title>x</title></head><body><ul class=menu><li>a<li>b</ul>' || array_join(transform(sequence(1, 3), n -> {parts}), chr(10)) || '</body></html>' as html",
     )
@@ -304,7 +304,7 @@ def extract_featured(spark, d):
 def unwrap_ajax(spark, d):
     """Half of the bodies are JSON wrappers, half are plain html."""
     html = "'<div class=\"caja\"><h4>' || cast(o_orderkey as string) || ' h</h4><h6>' || o_orderpriority || '</h6></div>'"
-    rows = read(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus", f"{html} as html").select(
+    rows = spread(read(spark, d, "orders")).selectExpr("o_orderkey", "o_orderstatus", f"{html} as html").select(
         "o_orderkey",
         F.when(C("o_orderstatus") == "P", C("html"))
         .otherwise(F.to_json(F.struct(F.lit(3).alias("found"), C("html"))))
@@ -312,18 +312,14 @@ def unwrap_ajax(spark, d):
         F.lit("https://portal.example.org/").alias("url_base"),
     )
     rule = pages_html.HtmlRule(contenedor_items=".caja", identificador="h4", titulo="h4", descripcion="h6")
-    items = pages_html.extract_html(captures_html(rows), rule)
+    items = pages_html.extract_html(pages_html.unwrap_ajax(rows), rule)
     return items.select("o_orderkey", "titulo", C("descripcion").alias("estado_texto"))
 
 
-def captures_html(rows: DataFrame) -> DataFrame:
-    return pages_html.unwrap_ajax(rows)
-
-
 @query("clean_pages")
 def clean_pages(spark, d):
     """Text of the whole pages; no SQL reads HTML trees, so rows only."""
-    return pages_html.clean_pages(read(spark, d, "pages")).select("page_id", "url", "texto")
+    return pages_html.clean_pages(spread(read(spark, d, "pages"))).select("page_id", "url", "texto")
 
 
 # --- JSON ---------------------------------------------------------------------
@@ -334,7 +330,7 @@ JSON_ITEM = f"""'{{"codBp":' || case when n = 2 and o_orderstatus = 'P' then 'nu
 def _json(spark, d) -> DataFrame:
     body = f"""case when o_orderpriority = '5-LOW' then '{{"datos": 3}}' when o_orderpriority = '1-URGENT' and o_orderstatus = 'F' then '{{"datos": ['
         else '{{"datos": [' || array_join(transform(sequence(1, 3), n -> {JSON_ITEM}), ', ') || ']}}' end"""
-    rows = read(spark, d, "orders").selectExpr("o_orderkey as snapshot_id", f"{body} as contenido_crudo")
+    rows = spread(read(spark, d, "orders")).selectExpr("o_orderkey as snapshot_id", f"{body} as contenido_crudo")
     mapping = json_items.JsonMapping(
         root_path="datos", identificador="codBp", titulo="nombre.rendered", estado="status", descripcion="tags.1",
         fecha_apertura="fechaInicio", monto="id", region="nada.x",
@@ -407,7 +403,7 @@ def extract_feed(spark, d):
         when o_orderpriority = '1-URGENT' and o_orderstatus = 'F' then '<rss><channel><item>'
         when o_orderstatus = 'P' then '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>' || array_join(transform(sequence(1, 3), n -> {ATOM_ITEM}), '') || '</feed>'
         else '<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>' || array_join(transform(sequence(1, 3), n -> {RSS_ITEM}), '') || '</channel></rss>' end"""
-    rows = read(spark, d, "orders").selectExpr("o_orderkey", f"{body} as contenido_crudo")
+    rows = spread(read(spark, d, "orders")).selectExpr("o_orderkey", f"{body} as contenido_crudo")
     return feeds.extract_feed(rows).drop("pos", "url_detalle")
 
 
@@ -421,7 +417,7 @@ RESPONSE = f"""case o_orderpriority when '1-URGENT' then '{{"items": [' || array
 
 
 def _responses(spark, d) -> DataFrame:
-    return read(spark, d, "orders").selectExpr("o_orderkey as response_id", f"{RESPONSE} as text")
+    return spread(read(spark, d, "orders")).selectExpr("o_orderkey as response_id", f"{RESPONSE} as text")
 
 
 @query(

@@ -194,6 +194,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Slim rows over all cores, before bodies are parsed.
+
+    Parsing costs far more than reading, so a table in fewer files than there
+    are cores would leave most of them idle. A table with enough partitions
+    is left as it is: nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An engine table as a Spark DataFrame."""
     source, columns = VIEWS[name]
