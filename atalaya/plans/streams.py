@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from atalaya.operators.changes import KEY
 from atalaya.plans.registry import query
 from atalaya.plans.tables import cte, read
-from atalaya.session import STATE_STORE, shared_folder
+from atalaya.session import shared_folder
 from atalaya.streaming import captures as streams
 from atalaya.streaming import changes
 
@@ -77,7 +77,6 @@ FIELDS = ["titulo", "estado", "monto"]
 )
 def stream_changes(spark, d):
     """Versions of one call per user; the state keeps the last of each."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = shared_folder(spark, "changes")
     versions = _landed(spark, d, "events").select(
         F.lit("portal").alias(KEY[0]),

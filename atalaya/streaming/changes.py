@@ -7,93 +7,89 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from atalaya import fixed_values as fixed
 from atalaya.functions.text import stable_key
 from atalaya.operators.changes import DELTA_LIST, KEY, render
 
-DAY_MS = 86_400_000
 OUTPUT = (
     "fuente_id string, identificador_externo string, convocatoria_id string, tipo string, "
     f"fecha_captura string, deltas {DELTA_LIST}"
 )
+OUTPUT_COLUMNS = [
+    "fuente_id", "identificador_externo", "convocatoria_id", "tipo", "fecha_captura", "deltas",
+]
 
 
-class LastVersion(StatefulProcessor):
-    """Compares each version of a call with the one before it by capture time.
+def _compare_versions(fields: list[str]):
+    """Per call: each version against the one before it by capture time.
 
-    A version older than the stored one is ignored. State that has not been
-    written for the retention period expires.
+    A version older than the stored one is ignored. State leaves when the
+    watermark, which trails by the retention period, passes its last version.
     """
-
-    def __init__(self, fields: list[str], ttl_days: int) -> None:
-        self.fields = fields
-        self.ttl_ms = ttl_days * DAY_MS
-
-    def init(self, handle) -> None:
-        columns = ", ".join(f"{f} string" for f in ["fecha_captura", *self.fields])
-        self.last = handle.getValueState("last", columns, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get() if self.last.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["fecha_captura", "orden"], kind="stable")
-        columns = ["fecha_captura", *self.fields]
+    columns = ["fecha_captura", *fields]
+
+    def compare(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        batch = pd.concat(list(chunks)).sort_values(["fecha_captura", "orden"], kind="stable")
         out = []
-        for version in batch[columns].astype(object).itertuples(index=False, name=None):
-            version = tuple(None if pd.isna(v) else v for v in version)
+        for raw in batch[columns].astype(object).itertuples(index=False, name=None):
+            version = tuple(None if pd.isna(v) else v for v in raw)
             if before is not None and version[0] < before[0]:
                 continue
             deltas = [
                 {"campo": f, "valor_anterior": old, "valor_nuevo": new}
-                for f, old, new in zip(self.fields, (before or version)[1:], version[1:], strict=True)
+                for f, old, new in zip(fields, (before or version)[1:], version[1:], strict=True)
                 if old != new
             ]
             if before is None or deltas:
                 tipo = "APERTURA" if before is None else "MODIFICACION"
-                out.append((tipo, version[0], deltas))
+                out.append((*key, batch["convocatoria_id"].iloc[0], tipo, version[0], deltas))
             before = version
-        self.last.update(tuple(before))
+        state.update(before)
+        last = int(batch["milis"].max())
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
         if out:
-            yield pd.DataFrame(
-                {
-                    "fuente_id": key[0],
-                    "identificador_externo": key[1],
-                    "convocatoria_id": batch["convocatoria_id"].iloc[0],
-                    "tipo": [o[0] for o in out],
-                    "fecha_captura": [o[1] for o in out],
-                    "deltas": [o[2] for o in out],
-                }
-            )
+            yield pd.DataFrame(out, columns=OUTPUT_COLUMNS)
 
-    def close(self) -> None:
-        pass
+    return compare
 
 
 def stream_changes(
     versions: DataFrame,
     fields: list[str] = fixed.COMPARED_FIELDS,
-    ttl_days: int = fixed.RETENTION_DAYS,
+    retention_days: int = fixed.RETENTION_DAYS,
 ) -> DataFrame:
     """Openings and modifications out of a stream of call versions.
 
     ``versions``: the call key, ``fecha_captura`` and the compared fields. What
     one task holds of one key is bounded by the trigger's input
-    (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` of the source).
+    (``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` of the source). The
+    retention runs on capture time: a processing-time timeout would keep an
+    ``availableNow`` run going forever.
     """
     order = F.sha2(F.concat_ws("\x1f", *[F.col(f).cast("string") for f in fields]), 256)
     rows = versions.select(
         *[F.col(k).cast("string").alias(k) for k in KEY],
         stable_key(*[F.col(k) for k in KEY]).alias("convocatoria_id"),
+        F.col("fecha_captura").cast("timestamp").alias("instante"),
+        F.unix_millis(F.col("fecha_captura").cast("timestamp")).alias("milis"),
         F.date_format("fecha_captura", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_captura"),
         order.alias("orden"),
         *[F.expr(render(f).format(f)).alias(f) for f in fields],
     )
-    events = rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=LastVersion(list(fields), ttl_days),
+    state = ", ".join(f"{f} string" for f in ["fecha_captura", *fields])
+    timed = rows.withWatermark("instante", f"{retention_days} days")
+    events = timed.groupBy(*KEY).applyInPandasWithState(
+        _compare_versions(list(fields)),
         outputStructType=OUTPUT,
+        stateStructType=state,
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout,
     )
     return events.withColumn("fecha_captura", F.col("fecha_captura").cast("timestamp_ntz"))
 
