@@ -15,18 +15,15 @@ from atalaya.functions.text import FOLD, first_of, strip
 DAY_MICROS = 86_400_000_000
 
 
-def _number(c: Column) -> Column:
-    return c.try_cast("int")
-
-
-def _midnight(year: Column, month: Column, day: Column) -> Column:
-    zero = F.lit(0)
-    return F.try_make_timestamp_ntz(F.nullif(year, zero), month, day, zero, zero, zero)
+def _valid_day(text: Column) -> Column:
+    """Midnight of a ``year-month-day`` text; NULL for a day that does not exist."""
+    day = text.try_cast("date").cast("timestamp_ntz")
+    return F.when(~text.startswith("0000"), day)
 
 
 def _month_number(name: Column) -> Column:
-    names = {m: i + 1 for i, m in enumerate(fixed.MONTHS_ES)}
-    names |= {m[:3]: i + 1 for i, m in enumerate(fixed.MONTHS_ES)}
+    names = {m: str(i + 1) for i, m in enumerate(fixed.MONTHS_ES)}
+    names |= {m[:3]: str(i + 1) for i, m in enumerate(fixed.MONTHS_ES)}
     lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.try_element_at(lookup, F.lower(name))
 
@@ -35,25 +32,18 @@ def parse_date_es(raw: Column) -> Column:
     """Date of a Spanish text: long form anywhere, else a whole short form.
 
     An impossible day gives NULL; an unknown month name leaves the short
-    forms to try.
+    forms to try. Each form is read with one pass of its pattern.
     """
     text = strip(raw)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def numbers(pattern: str, *groups: int) -> list[Column]:
-        return [_number(part(pattern, g)) for g in groups]
-
-    long_form = FOLD + fixed.LONG_DATE
-    year, day = numbers(long_form, 3, 1)
-    month = _month_number(part(long_form, 2))
-    short_form = F.coalesce(
-        _midnight(*numbers(fixed.SLASH_DATE, 3, 2, 1)),
-        _midnight(*numbers(fixed.DASH_DATE, 3, 2, 1)),
-        _midnight(*numbers(fixed.ISO_DATE, 1, 2, 3)),
+    whole = f"(?s){FOLD}^.*?{fixed.LONG_DATE}.*$"
+    parts = F.split(F.regexp_replace(text, whole, "$3-$2-$1"), "-")
+    month = F.when(F.contains(F.lower(text), F.lit("de")), _month_number(F.get(parts, F.lit(1))))
+    long_form = F.concat_ws("-", F.get(parts, F.lit(0)), month, F.get(parts, F.lit(2)))
+    turned = F.regexp_replace(F.regexp_replace(text, fixed.SLASH_DATE, "$3-$2-$1"), fixed.DASH_DATE, "$3-$2-$1")
+    short_form = F.when(turned != text, turned).when(
+        text.rlike(fixed.ISO_DATE), F.substring(text, 1, 10)
     )
-    return F.when(month.isNotNull(), _midnight(year, month, day)).otherwise(short_form)
+    return _valid_day(F.when(month.isNotNull(), long_form).otherwise(short_form))
 
 
 def spark_format(fmt: Column) -> Column:

@@ -115,13 +115,13 @@ def list_profiles(spark, d):
 )
 def consolidate_pages_short(spark, d):
     """The page bodies are JSON lists; their sizes decide."""
-    bodies = view(spark, d, "paginas").withColumn(
+    bodies = view(spark, d, "paginas", wide=True).withColumn(
         "body",
         F.when(C("n_items").isNull(), F.lit('{"error": true}')).otherwise(
             F.to_json(F.array_repeat(C("page"), C("n_items")))
         ),
     )
-    sized = bodies.withColumn("n_items", F.size(paging.json_list(C("body")))).drop("body")
+    sized = bodies.withColumn("n_items", paging.page_size(C("body"))).drop("body")
     return paging.consolidate_pages_short(sized, 20).select("fuente_id", "page", "n_items")
 
 

@@ -43,7 +43,7 @@ DUCK_OLD_YEAR = (
     f"{cte('items')} select identificador, linea, parte, precio, {DUCK_STATUS} as estado_normal from items",
 )
 def normalize_status(spark, d):
-    return view(spark, d, "items").select(
+    return view(spark, d, "items", wide=True).select(
         "identificador", "linea", "parte", "precio", status.normalize_status(C("estado")).alias("estado_normal")
     )
 
@@ -53,7 +53,7 @@ def normalize_status(spark, d):
     f"{cte('items')} select linea, parte, fecha_cierre as texto, {DUCK_DATE} as fecha from items",
 )
 def parse_dates_es(spark, d):
-    return view(spark, d, "items").select(
+    return view(spark, d, "items", wide=True).select(
         "linea", "parte", C("fecha_cierre").alias("texto"), dates.parse_date_es(C("fecha_cierre")).alias("fecha")
     )
 
@@ -78,7 +78,7 @@ FORMATS = {
 def parse_dates_fmt(spark, d):
     formats = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
     parsed = dates.parse_date_fmt(C("fecha_cierre"), formats[C("linea")])
-    return view(spark, d, "items").select(
+    return view(spark, d, "items", wide=True).select(
         "linea", "parte", C("fecha_cierre").alias("texto"), parsed.alias("fecha")
     )
 
@@ -89,7 +89,7 @@ def parse_dates_fmt(spark, d):
         cast(replace(replace(monto[16:], '.', ''), ',', '.') as double) as monto_valor from items""",
 )
 def parse_amounts(spark, d):
-    return view(spark, d, "items").select(
+    return view(spark, d, "items", wide=True).select(
         "parte",
         "linea",
         amounts.parse_amount(text.rule_extract(C("monto"), F.lit(r"\$\s*([\d.,]+)"))).cast("double").alias("monto_valor"),
@@ -105,7 +105,7 @@ def parse_amounts(spark, d):
 def regex_extract(spark, d):
     """One pattern per row, some with a group and some without."""
     pattern = F.when(C("linea").isin(2, 3), r"\d{2}[/-]\d{2}[/-]\d{4}").otherwise(r"(?:de\s+|^)(\d{4})")
-    return view(spark, d, "items").select(
+    return view(spark, d, "items", wide=True).select(
         "linea", "parte", text.rule_extract(C("fecha_cierre"), pattern).alias("extraido")
     )
 
@@ -154,7 +154,7 @@ def urgency_bands(spark, d):
         else 'cyan' end as familia from items""",
 )
 def status_family(spark, d):
-    return view(spark, d, "items").select("linea", "parte", "estado", status.status_family(C("estado")).alias("familia"))
+    return view(spark, d, "items", wide=True).select("linea", "parte", "estado", status.status_family(C("estado")).alias("familia"))
 
 
 @query(
@@ -287,7 +287,7 @@ ITEM_STAGES = f"""{cte('items')},
         from (select *, sha256(fuente_id || chr(31) || identificador) as sha2 from normales where reject_reason is null)""",
 )
 def normalize_calls(spark, d):
-    calls = normalize.normalize_calls(view(spark, d, "items"), item_rules(spark, d), AS_OF)
+    calls = normalize.normalize_calls(view(spark, d, "items", wide=True), item_rules(spark, d), AS_OF)
     return calls.withColumnRenamed("identificador_externo", "identificador").select(
         "id", "fuente_id", "identificador", "titulo", "descripcion", "url_detalle", "fecha_cierre",
         C("monto").cast("double").alias("monto"), "region", "estado",
@@ -345,7 +345,7 @@ def filter_live(spark, d):
         from (select *, {DUCK_STATUS} as st from items) group by 1""",
 )
 def live_summary(spark, d):
-    items = view(spark, d, "items").withColumn("fecha_cierre", C("cierre"))
+    items = view(spark, d, "items", wide=True).withColumn("fecha_cierre", C("cierre"))
     return filters.live_summary(items, AS_OF)
 
 
@@ -355,7 +355,7 @@ def live_summary(spark, d):
         select linea, parte, estado, fecha_cierre from x where ({duck_liveness('fc', 'st')}) is null""",
 )
 def filter_live_raw(spark, d):
-    return filters.filter_live_raw(view(spark, d, "items"), AS_OF).select("linea", "parte", "estado", "fecha_cierre")
+    return filters.filter_live_raw(view(spark, d, "items", wide=True), AS_OF).select("linea", "parte", "estado", "fecha_cierre")
 
 
 KEYWORDS_SQL = "\\b(" + "|".join(fixed.FEED_KEYWORDS) + ")\\b"

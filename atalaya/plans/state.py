@@ -190,7 +190,7 @@ RUN_SQL = f"""{ITEM_STAGES.replace('cierre, parte, precio,', 'cierre, parte, pre
 def _monitor(spark, d):
     """Stored state: what an earlier run took from the first item lines."""
     rules = item_rules(spark, d)
-    items = view(spark, d, "items").withColumn(
+    items = view(spark, d, "items", wide=True).withColumn(
         "pos", F.struct("cierre", "parte", "precio", "linea")
     )
     sources = rules.select(

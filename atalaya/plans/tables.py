@@ -205,11 +205,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An engine table as a Spark DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """An engine table as a Spark DataFrame; ``wide`` spreads it over all cores."""
     source, columns = VIEWS[name]
     table, _, condition = source.partition(" where ")
     rows = read(spark, sf_dir, table)
+    if wide:
+        rows = spread(rows)
     if condition:
         rows = rows.where(condition.format(ts="timestamp_ntz"))
     return rows.selectExpr(

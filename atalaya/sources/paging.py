@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
-from atalaya.functions.text import strict_json
 from atalaya.functions.urls import set_query_param
 
 RUN = ["fuente_id", "run_id"]
@@ -26,9 +25,10 @@ def _keep_until(pages: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def json_list(body: Column, root: str = "$") -> Column:
-    """The items of a JSON page; NULL where the root is not a list."""
-    return F.try_variant_get(strict_json(body), root, "array<variant>")
+def page_size(body: Column, root: str = "$") -> Column:
+    """Number of items of a JSON page; NULL where the root is not a list."""
+    listed = body if root == "$" else F.get_json_object(body, root)
+    return F.json_array_length(listed)
 
 
 def consolidate_pages_short(
