@@ -36,7 +36,7 @@ RULES = (
 
 def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
     """A folder of YAML files, one row per file: ``archivo, texto``."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.yaml").text(path)
+    files = spark.read.option("pathGlobFilter", "*.yaml").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("archivo"), F.col("value").alias("texto"))
 
 
