@@ -9,7 +9,7 @@ array expressions.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -39,17 +39,32 @@ ENDS = {
 }
 
 
-class _Nodes(HTMLParser):
-    """Appends a page's nodes to flat columns, parents before children."""
+# Comment, tag with well-quoted attributes, any other tag, declaration.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|$)
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>
+    |<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>
+    |<[!?][^>]*>""",
+    re.S | re.X,
+)
+ATTRIBUTE = re.compile(
+    r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?"""
+)
+RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title")}
+
+
+class _Nodes:
+    """A page's nodes as flat columns, parents before children."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+    def __init__(self, html: str) -> None:
         self.last: list[int] = []
         self.parent: list[int] = []
         self.tag: list[str] = []
         self.attrs: list[list[tuple[str, str]]] = []
         self.text: list[str | None] = []
         self.open: list[int] = []
+        self._read(html)
+        self._close(0)
 
     def _add(self, tag: str, attrs: list[tuple[str, str]], text: str | None) -> int:
         at = len(self.tag)
@@ -60,33 +75,50 @@ class _Nodes(HTMLParser):
         self.text.append(text)
         return at
 
-    def close_from(self, depth: int) -> None:
+    def _add_text(self, text: str) -> None:
+        if text and not text.isspace():
+            self._add(TEXT, [], unescape(text) if "&" in text else text)
+
+    def _close(self, depth: int) -> None:
         for at in self.open[depth:]:
             self.last[at] = len(self.tag) - 1
         del self.open[depth:]
 
-    def handle_starttag(self, tag, attrs):
+    def _end(self, tag: str) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.tag[self.open[depth]] == tag:
+                self._close(depth)
+                return
+
+    def _start(self, tag: str, attrs: str) -> None:
         if self.open and self.tag[self.open[-1]] in ENDS.get(tag, ()):
-            self.close_from(len(self.open) - 1)
-        named = {k: v or "" for k, v in reversed(attrs)}
+            self._close(len(self.open) - 1)
+        named: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
+            named.setdefault(name.lower(), unescape("".join(values)))
         at = self._add(tag, list(named.items()), None)
         if tag not in VOID:
             self.open.append(at)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.close_from(len(self.open) - 1)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.tag[self.open[depth]] == tag:
-                self.close_from(depth)
-                return
-
-    def handle_data(self, data):
-        if data.strip():
-            self._add(TEXT, [], data)
+    def _read(self, html: str) -> None:
+        at = 0
+        while found := TOKEN.search(html, at):
+            self._add_text(html[at : found.start()])
+            at = found.end()
+            tag = found["tag"] or found["tag2"]
+            if not tag:
+                continue
+            tag = tag.lower()
+            if found["end"] or found["end2"]:
+                self._end(tag)
+                continue
+            self._start(tag, found["attrs"] if found["tag"] else found["attrs2"])
+            if tag in RAW:
+                stop = RAW[tag].search(html, at)
+                raw = html[at : stop.start() if stop else len(html)]
+                at += len(raw)
+                self._add_text(raw)
+        self._add_text(html[at:])
 
 
 @F.arrow_udf(T.ArrayType(NODE))
@@ -95,10 +127,7 @@ def nodes(pages: pa.Array) -> pa.Array:
     offsets, ords = [0], []
     last, parent, tag, attrs, text = [], [], [], [], []
     for html in pages.to_pylist():
-        page = _Nodes()
-        page.feed(html or "")
-        page.close()
-        page.close_from(0)
+        page = _Nodes(html or "")
         ords.extend(range(len(page.tag)))
         for column, part in (
             (last, page.last), (parent, page.parent), (tag, page.tag),

@@ -261,9 +261,7 @@ ALLIANCE = f"""'<a href="/es/convocatoria-alianzas/' || case n when 1 then 'c' |
     "extract_links",
     f"""select o_orderkey, 'alianza-c' || {KEY} as identificador, 'Convocatoria abierta ' || {KEY} as titulo,
         'Convocatoria de alianza institucional: Convocatoria abierta ' || {KEY} as descripcion,
-        'https://www.example.org/es/convocatoria-alianzas/c' || {KEY} as url_detalle, 'ABIERTO' as estado from orders where o_orderkey > 9999999
-        union all select o_orderkey, 'alianza-c' || {KEY}, 'Convocatoria abierta ' || {KEY}, 'Convocatoria de alianza institucional: Convocatoria abierta ' || {KEY},
-        'https://www.example.org/es/convocatoria-alianzas/c' || {KEY}, 'ABIERTO' from orders where o_orderkey <= 9999999""",
+        'https://www.example.org/es/convocatoria-alianzas/c' || {KEY} as url_detalle, 'ABIERTO' as estado from orders""",
 )
 def extract_links(spark, d):
     rows = _listing(spark, d, ALLIANCE).drop("url_base").withColumn("page_ord", F.lit(0))
@@ -346,7 +344,7 @@ _REASON = """case when o_orderpriority = '5-LOW' then 'raiz_no_es_lista' when o_
     "extract_json",
     f"""select o_orderkey as snapshot_id, cast(n - 1 as int) as pos, {KEY} || '-' || n as identificador, 'Fondo ' || {KEY} as titulo, 't' || n as descripcion,
         case n when 1 then 'ABIERTO' when 2 then 'CERRADO' else 'DESCONOCIDO' end as estado, '2026-01-0' || n || 'T00:00:00' as fecha_apertura, {KEY} as monto, cast(null as varchar) as region
-        from orders, unnest([1, 2, 3]) as r(n) where ({_REASON}) is null""".replace("'t' || n", "case when n = 0 then '' else 't' || n end"),
+        from orders, unnest([1, 2, 3]) as r(n) where ({_REASON}) is null""",
 )
 def extract_json(spark, d):
     return json_items.explode_items(_json(spark, d)).drop("url_detalle", "grupo", "fecha_cierre")

@@ -392,7 +392,7 @@ def page_calls(spark, d):
 @query(
     "audit_tail",
     f"""{cte('auditoria', 'fuentes')} select a.id, a.fuente_id, case when a.fuente_id is not null then coalesce(nombre, 'Desconocido') end as fuente_nombre,
-        nivel, mensaje, a.creado_en from (select * from auditoria where nivel <> 'x' order by creado_en desc, id limit 200) a left join fuentes f on f.id = a.fuente_id""",
+        nivel, mensaje, a.creado_en from (select * from auditoria order by creado_en desc, id limit 200) a left join fuentes f on f.id = a.fuente_id""",
 )
 def audit_tail(spark, d):
     tail = serving.audit_tail(view(spark, d, "auditoria"), view(spark, d, "fuentes"), limit=200)
