@@ -81,16 +81,16 @@ def with_found(rows: DataFrame, selectors: list[str | None]) -> tuple[DataFrame,
 
 
 def _value(selector: str | None, found: dict[str, Column]) -> Column:
-    """Text, own text or attribute that a selector gives; blank is NULL."""
+    """Text, own text or attribute that a selector gives."""
     node, below = F.col("node"), F.col("below")
     if not selector:
         return F.lit(None).cast("string")
     if selector == "self":
-        return blank_to_null(dom.text_of(below))
+        return dom.text_of(below)
     if selector.startswith("attr:"):
-        return blank_to_null(node.attrs[selector.removeprefix("attr:")])
+        return node.attrs[selector.removeprefix("attr:")]
     hit = found[selector]
-    return blank_to_null(F.when(hit.isNotNull(), dom.text_in(below, node, hit)))
+    return F.when(hit.isNotNull(), dom.text_in(below, node, hit))
 
 
 def _href(selector: str | None, found: dict[str, Column]) -> Column:
@@ -125,22 +125,32 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
     pattern = rule.patrones.get
     selectors = [rule.identificador, rule.titulo, rule.link_detalle] + [getattr(rule, f) for f in FIELDS]
     rows, found = with_found(boxes(pages, rule.contenedor_items), selectors)
-    title = _value(rule.titulo, found)
+    needs_text = any(pattern(f) for f in ("fecha_cierre", "monto"))
+    same_id = rule.identificador == rule.titulo
+    raw = compute_once(
+        rows,
+        _ident=_value(None if same_id else rule.identificador, found),
+        _titulo=_value(rule.titulo, found),
+        _link=_href(rule.link_detalle, found),
+        _texto=dom.text_of(F.col("below")) if needs_text else F.lit(None).cast("string"),
+        **{f"_{f}": _value(getattr(rule, f), found) for f in FIELDS},
+    )
+
+    def text(name: str) -> Column:
+        return blank_to_null(F.col(f"_{name}"))
+
+    title = text("titulo")
     if pattern("titulo"):
         title = F.coalesce(_apply(pattern("titulo"), title), title)
-    ident = title if rule.identificador == rule.titulo else _value(rule.identificador, found)
-    needs_text = any(pattern(f) for f in ("fecha_cierre", "monto"))
     read = compute_once(
-        rows,
-        _ident=ident,
+        raw,
+        _id=title if same_id else text("ident"),
         titulo=title,
-        descripcion=_value(rule.descripcion, found),
-        _href=_href(rule.link_detalle, found),
-        _estado=_value(rule.estado, found),
-        _fecha=_apply(pattern("fecha_cierre"), _value(rule.fecha_cierre, found)),
-        _monto=_apply(pattern("monto"), _value(rule.monto, found)),
-        region=_apply(pattern("region"), _value(rule.region, found)),
-        _texto=dom.text_of(F.col("below")) if needs_text else F.lit(None).cast("string"),
+        descripcion=text("descripcion"),
+        _href=F.col("_link"),
+        _fecha=_apply(pattern("fecha_cierre"), text("fecha_cierre")),
+        _monto_texto=_apply(pattern("monto"), text("monto")),
+        region=_apply(pattern("region"), text("region")),
     )
 
     def or_whole_text(name: str, given: str) -> Column:
@@ -150,7 +160,7 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
     return read.select(
         *kept,
         "pos",
-        F.coalesce("_ident", surrogate_id("hash-", F.col("titulo"))).alias("identificador"),
+        F.coalesce("_id", surrogate_id("hash-", F.col("titulo"))).alias("identificador"),
         "titulo",
         "descripcion",
         F.when(F.col("_href").isNotNull(), resolve_url(F.col("_href"), F.col(base_url))).alias(
@@ -158,7 +168,7 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
         ),
         normalize_status(F.col("_estado")).alias("estado"),
         or_whole_text("fecha_cierre", "_fecha").alias("fecha_cierre"),
-        or_whole_text("monto", "_monto").alias("monto"),
+        or_whole_text("monto", "_monto_texto").alias("monto"),
         "region",
         F.lit(True).alias("regex_aplicada"),
     ).where("titulo IS NOT NULL")
@@ -177,8 +187,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     return compute_once(
         boxes(pages, "a[href]"),
         href=F.col("node").attrs["href"],
-        texto=blank_to_null(dom.text_of(F.col("below"))),
-    ).select(*kept, "pos", "href", "texto").where("href <> ''")
+        texto=dom.text_of(F.col("below")),
+    ).select(*kept, "pos", "href", blank_to_null(F.col("texto")).alias("texto")).where("href <> ''")
 
 
 def first_per_url(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -196,7 +206,7 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     rows, found = with_found(boxes(pages, "div[style*='background-color']"), ["h2", "a.btn", "p"])
     read = compute_once(
         rows,
-        titulo=_value("h2", found),
+        titulo=F.coalesce(_value("h2", found), F.lit("")),
         href=found["a.btn"].attrs["href"],
         _p=_value("p", found),
     ).where(found["h2"].isNotNull() & F.col("href").contains("/programas/"))
