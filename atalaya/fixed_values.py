@@ -116,6 +116,15 @@ ALLIANCE_PAGE = "convocatoria-alianzas"
 ALLIANCE_PATH = "/convocatoria-alianzas/"
 ALLIANCE_INDEX = "/es/convocatoria-alianzas/"
 
+# Id prefixes and descriptions that extractors give to items without their own.
+LISTING_ID = "hash-"
+FEED_ID = "rss-"
+CARD_ID = "fosis-"
+ALLIANCE_ID = "alianza-"
+NEWS_ID = "subdere-news-"
+ALLIANCE_TEXT = "Convocatoria de alianza institucional: "
+FEATURED_TEXT = "Programa destacado en homepage SUBDERE: "
+
 # --- limits ---------------------------------------------------------------
 LIVENESS_MONTHS = 3
 DAYS_PER_MONTH = 30

@@ -94,7 +94,7 @@ def extract_feed(captures: DataFrame, body: str = "contenido_crudo") -> DataFram
         *kept,
         "pos",
         F.when(F.col("link") != "", F.col("link"))
-        .otherwise(surrogate_id("rss-", F.col("titulo")))
+        .otherwise(surrogate_id(fixed.FEED_ID, F.col("titulo")))
         .alias("identificador"),
         "titulo",
         F.nullif(F.substring("texto", 1, fixed.DESCRIPTION_CHARS), F.lit("")).alias("descripcion"),

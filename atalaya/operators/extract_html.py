@@ -160,7 +160,7 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
     return read.select(
         *kept,
         "pos",
-        F.coalesce("_id", surrogate_id("hash-", F.col("titulo"))).alias("identificador"),
+        F.coalesce("_id", surrogate_id(fixed.LISTING_ID, F.col("titulo"))).alias("identificador"),
         "titulo",
         "descripcion",
         F.when(F.col("_href").isNotNull(), resolve_url(F.col("_href"), F.col(base_url))).alias(
@@ -221,7 +221,7 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     return firsts.where(F.length("titulo") >= 3).select(
         *kept,
         "pos",
-        F.coalesce(segment, surrogate_id("fosis-", F.col("titulo"))).alias("identificador"),
+        F.coalesce(segment, surrogate_id(fixed.CARD_ID, F.col("titulo"))).alias("identificador"),
         "titulo",
         description.alias("descripcion"),
         "url_detalle",
@@ -250,9 +250,9 @@ def extract_links(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     return firsts.where((segment != "") & (segment != fixed.ALLIANCE_PAGE)).select(
         *kept,
         "pos",
-        F.concat(F.lit("alianza-"), segment).alias("identificador"),
+        F.concat(F.lit(fixed.ALLIANCE_ID), segment).alias("identificador"),
         text.alias("titulo"),
-        F.concat(F.lit("Convocatoria de alianza institucional: "), text).alias("descripcion"),
+        F.concat(F.lit(fixed.ALLIANCE_TEXT), text).alias("descripcion"),
         "url_detalle",
         normalize_status(text).alias("estado"),
     )
@@ -329,7 +329,7 @@ def extract_news(pages: DataFrame, base_url: str) -> DataFrame:
         "pos",
         F.coalesce(
             F.nullif(F.try_url_decode(F.replace(last_segment(F.col("href")), F.lit("+"), F.lit("%2B"))), F.lit("")),
-            surrogate_id("subdere-news-", title),
+            surrogate_id(fixed.NEWS_ID, title),
         ).alias("identificador"),
         "titulo",
         F.nullif(F.substring("_body", 1, fixed.DESCRIPTION_CHARS), F.lit("")).alias("descripcion"),
@@ -355,7 +355,7 @@ def extract_featured(pages: DataFrame, base_url: str, keys: list[str]) -> DataFr
         "pos",
         F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))).alias("identificador"),
         text.alias("titulo"),
-        F.concat(F.lit("Programa destacado en homepage SUBDERE: "), text).alias("descripcion"),
+        F.concat(F.lit(fixed.FEATURED_TEXT), text).alias("descripcion"),
         resolve_url(href, F.lit(base_url)).alias("url_detalle"),
         F.lit(fixed.UNKNOWN_STATUS).alias("estado"),
         "href",

@@ -18,6 +18,7 @@ from atalaya.operators.mutate import union_items
 
 Extractor = Callable[[DataFrame, object], DataFrame]
 DEFAULT = "html_static"
+MAX_SOURCES = 200
 _EXTRACTORS: dict[str, Extractor] = {}
 
 
@@ -57,6 +58,36 @@ def _feed(captures: DataFrame, rule: object) -> DataFrame:
     return extract_feed(captures)
 
 
+def compiled_rules(sources: DataFrame, rules: DataFrame) -> list[tuple[str, str, object]]:
+    """The (source id, strategy, rule) list of the valid rule documents.
+
+    A run's plan has one branch per source, so the list must be small: beyond
+    the bound, run the sources in groups.
+    """
+    named = sources.select(F.col("id").alias("fuente_id"), "nombre")
+    rows = (
+        named.join(rules, "nombre")
+        .select("fuente_id", "estrategia", "selectores", "json_mapping", "normalizadores")
+        .limit(MAX_SOURCES + 1)
+        .collect()
+    )
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources in one plan: run them in groups")
+    return [(r.fuente_id, r.estrategia, _rule(r)) for r in rows]
+
+
+def _rule(row) -> object:
+    if row.json_mapping is not None:
+        paths = row.json_mapping.asDict()
+        paths.pop("paginacion")
+        return JsonMapping(**paths)
+    if row.selectores is None:
+        return None
+    items = row.normalizadores.asDict() if row.normalizadores else {}
+    patterns = {f: i.regex_extraction for f, i in items.items() if i and i.regex_extraction}
+    return HtmlRule(**row.selectores.asDict(), patrones=patterns)
+
+
 def extract_all(captures: DataFrame, rules: list[tuple[str, str, object]]) -> DataFrame:
     """Items of all captures; ``rules`` lists (source id, strategy, rule)."""
     parts = [

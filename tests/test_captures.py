@@ -58,7 +58,7 @@ def test_cards_and_links(spark):
         "snapshot_id string, page_ord int, html string",
     )
     # the first card of a URL decides, and its title is too short here
-    found = html.extract_cards(rows, "https://www.fosis.example/", ["snapshot_id"]).collect()
+    found = html.extract_cards(rows, "https://www.tarjetas.example/", ["snapshot_id"]).collect()
     assert [(r.identificador, r.titulo) for r in found] == [("dos", "Programa dos")]
 
 
@@ -70,7 +70,7 @@ def test_news_greedy_order(spark):
         + item.format("/sala-de-prensa/b", "Nuevo fondo municipal de barrios", "")
         + item.format("/sala-de-prensa/c", "Otro titulo de la misma nota", "concurso")
     )
-    rows = html.extract_news(pages(spark, page), "https://www.subdere.example/").orderBy("pos").collect()
+    rows = html.extract_news(pages(spark, page), "https://www.noticias.example/").orderBy("pos").collect()
     # the second link repeats an href, the third a title: only what was kept counts as seen
     assert [r.identificador for r in rows] == ["a", "c"]
     assert rows[0].fecha_cierre == "4 de abril de 2026"
@@ -178,10 +178,10 @@ def test_rule_documents(spark):
 
 
 def test_profiles(spark):
-    known = spark.createDataFrame([(0, "CORFO", ["CORFO_API"], "r0", "l0"), (1, "FIA", None, "r1", "l1")], "ordinal int, key string, aliases array<string>, root_url string, list_url string")
-    sources = spark.createDataFrame([(1, "Corfo api!", "u", "b"), (2, "Fía", "u", "b"), (3, "F.I.A.", "u", "b")], "id int, nombre string, url_base string, url_busqueda string")
+    known = spark.createDataFrame([(0, "AGENCIA", ["AGENCIA_API"], "r0", "l0"), (1, "FIA", None, "r1", "l1")], "ordinal int, key string, aliases array<string>, root_url string, list_url string")
+    sources = spark.createDataFrame([(1, "Agencia api!", "u", "b"), (2, "Fía", "u", "b"), (3, "F.I.A.", "u", "b")], "id int, nombre string, url_base string, url_busqueda string")
     got = {r.id: (r.perfil, r.url_base) for r in profiles.resolve_sources(sources, known).collect()}
-    assert got == {1: ("CORFO", "r0"), 2: (None, "u"), 3: ("FIA", "r1")}
+    assert got == {1: ("AGENCIA", "r0"), 2: (None, "u"), 3: ("FIA", "r1")}
 
 
 def test_files_on_disk(spark, tmp_path):
@@ -199,6 +199,42 @@ def test_files_on_disk(spark, tmp_path):
     assert row.contenido_crudo == "<p>ñ</p>" and len(row.hash_contenido) == 64
 
 
+def test_from_rule_documents_to_events(spark):
+    from atalaya.plans.monitor import audit_rows, monitor_run
+
+    docs = spark.createDataFrame(
+        [
+            ("a.yaml", "nombre: A\nurl_busqueda: https://a.cl/l\nregion_defecto: Maule\nselectores: {contenedor_items: li, identificador: 'attr:id', titulo: b, link_detalle: a, fecha_cierre: i}\n"
+                       "normalizadores: {fecha_cierre: {regex_extraction: 'Fin:\\s*(\\d{2}-\\d{2}-\\d{4})', formato_salida: '%d-%m-%Y'}}\n"),
+            ("b.yaml", "nombre: B\nurl_busqueda: https://b.cl/l\nestrategia: json_api\njson_mapping: {root_path: datos, identificador: id, titulo: n, link_detalle: u, fecha_cierre: f}\n"),
+        ],
+        "archivo string, texto string",
+    )
+    known = rules.valid_rules(rules.load_rules(docs))
+    sources = spark.createDataFrame([("1", "A", "https://a.cl/"), ("2", "B", "https://b.cl/")], "id string, nombre string, url_base string")
+    caps = spark.createDataFrame(
+        [("1", "s1", "<ul><li id=x><b>Fondo X</b><a href=/x>v</a><i>Fin: 31-12-2026</i><li id=y><b>Licitación pública</b><a href=/y>v</a><li id=z><b>Fondo Z</b><a href=/z>v</a><i>pronto</i></ul>", "https://a.cl/"),
+         ("2", "s2", '{"datos": [{"id": 1, "n": "Uno", "u": "https://b.cl/1", "f": "2026-08-15T00:00:00"}, {"id": 2, "n": "Dos", "u": "https://b.cl/2", "f": "2026-01-01"}]}', "https://b.cl/")],
+        "fuente_id string, snapshot_id string, contenido_crudo string, url_base string",
+    )
+    items = registry.extract_all(caps, registry.compiled_rules(sources, known)).drop("url_base")
+    lists = sources.select(C("id").alias("fuente_id"), F.array(F.lit("estado")).alias("campos_sensibles"), F.array().cast("array<string>").alias("ignorar_cambios_en"))
+    stored = spark.createDataFrame(
+        [("old", "2", "1", "Antes", "ABIERTO")], "id string, fuente_id string, identificador_externo string, titulo string, estado string"
+    )
+    for name in ("descripcion", "url_detalle", "region"):
+        stored = stored.withColumn(name, F.lit(None).cast("string"))
+    for name in ("fecha_apertura", "fecha_cierre", "creado_en", "actualizado_en"):
+        stored = stored.withColumn(name, F.lit(None).cast("timestamp_ntz"))
+    stored = stored.withColumn("monto", F.lit(None).cast("decimal(15,2)"))
+    run = monitor_run(items, rules.normalizer_rules(sources, known), lists, stored, "2026-06-02", ["pos"])
+    got = {(r.fuente_id, r.identificador_externo): (r.tipo, r.convocatoria_id == "old") for r in run.events.collect()}
+    assert got == {("1", "x"): ("APERTURA", False), ("1", "z"): ("APERTURA", False), ("2", "1"): ("MODIFICACION", True)}
+    assert {(r.identificador_externo, r.motivo) for r in run.rejected.collect()} == {("y", "relevancia"), ("2", "normalizacion")}
+    assert run.calls.count() == 3 and run.kept.where("identificador_externo = 'x'").first().region == "Maule"
+    assert {r.mensaje for r in audit_rows(run.rejected, "r1", "2026-06-02").collect()} == {"relevancia", "expirada"}
+
+
 def test_extractor_registry(spark):
     @registry.register("propio")
     def own(rows, rule):
