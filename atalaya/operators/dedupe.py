@@ -36,7 +36,7 @@ def latest_snapshot(captures: DataFrame) -> DataFrame:
     return dedupe_last(captures, ["fuente_id"], ["fecha_captura", "id"])
 
 
-def content_changed(captures: DataFrame, bucket: str = "day") -> DataFrame:
+def content_changed(captures: DataFrame, bucket: str = "hour") -> DataFrame:
     """Captures with a flag: does the hash differ from the source's previous one?
 
     A source may own a large part of all captures, so rows are compared inside
@@ -44,8 +44,8 @@ def content_changed(captures: DataFrame, bucket: str = "day") -> DataFrame:
     last hash of the source's previous bucket, which comes from a table with
     one row per bucket.
     """
-    day = F.date_trunc(bucket, F.col("fecha_captura")).cast("timestamp_ntz")
-    rows = captures.withColumn("_bucket", day)
+    start = F.date_trunc(bucket, F.col("fecha_captura")).cast("timestamp_ntz")
+    rows = captures.withColumn("_bucket", start)
     last = rows.groupBy("fuente_id", "_bucket").agg(
         F.max_by("hash_contenido", F.struct("fecha_captura", "id")).alias("_last")
     )

@@ -136,9 +136,11 @@ def consolidate_pages_total(spark, d):
 
 @query(
     "consolidate_pages_found",
-    f"""{cte('paginas')}, x as (select fuente_id, max(found) filter (page = 1) as f, min(page) filter (html = '') - 1 as e from paginas group by 1)
-        select fuente_id, string_agg(html, chr(10) order by page, html) as html, any_value(f) as total_found, max(page) as pages_fetched
-        from paginas join x using (fuente_id) where page <= least(case when f > 0 then cast(ceil(f / 10.0) as int) end, e, 12) group by 1""",
+    f"""{cte('paginas')}, x as (select fuente_id, max(found) filter (page = 1) as f, min(page) filter (html = '') - 1 as e from paginas group by 1),
+        y as (select fuente_id, page, min(html) as html, any_value(f) as f from paginas join x using (fuente_id)
+        where page <= least(case when f > 0 then cast(ceil(f / 10.0) as int) end, e, 12) group by 1, 2)
+        select fuente_id, string_agg(html, chr(10) order by page) as html, case when min(page) = 1 then any_value(f) end as total_found,
+        max(page) as pages_fetched from y group by 1""",
 )
 def consolidate_pages_found(spark, d):
     kept = paging.consolidate_pages_found(view(spark, d, "paginas"))

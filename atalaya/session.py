@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # whole pages go to Python: fewer of them at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
@@ -35,8 +37,5 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     The cluster names its shared storage in ``spark.checkpoint.dir``; only
     where that is unset (tests on one machine) a local folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="atalaya-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="atalaya-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -48,14 +48,18 @@ def append_captures(captures: DataFrame, path: str) -> None:
 def bundle(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Join a source's named pages into one text (an edge format).
 
-    The number of pages of one bundle is the source's fixed section list.
+    A name that landed more than once counts once, the last one, so a bundle
+    holds no more pages than the source has sections.
     """
+    named = pages.groupBy(*keys, "nombre").agg(
+        F.max("pos").alias("pos"), F.max_by("html", "pos").alias("html")
+    )
     part = F.concat(
         F.lit(fixed.BUNDLE_OPEN), F.col("nombre"), F.lit("===\n"), F.col("html"),
         F.lit(f"\n{fixed.BUNDLE_CLOSE}\n"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", part.alias("texto"))))
-    return pages.groupBy(*keys).agg(
+    return named.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda p: p.texto), "").alias("contenido_crudo")
     )
 

@@ -83,9 +83,14 @@ def consolidate_pages_found(
 
 
 def merge_found_pages(kept: DataFrame) -> DataFrame:
-    """One capture per run from the kept pages (at most the page limit of them)."""
+    """One capture per run from the kept pages.
+
+    A page that landed more than once counts once, so at most the page limit
+    of texts comes together in a run.
+    """
+    once = kept.groupBy(*RUN, "page").agg(F.min("html").alias("html"), F.max("found").alias("found"))
     ordered = F.array_sort(F.collect_list(F.struct("page", "html")))
-    merged = kept.groupBy(*RUN).agg(
+    merged = once.groupBy(*RUN).agg(
         F.array_join(F.transform(ordered, lambda p: p.html), "\n").alias("html"),
         F.max(F.when(F.col("page") == 1, F.col("found"))).alias("total_found"),
         F.max("page").alias("pages_fetched"),
