@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atalaya.llm import exact_stream, mixing, packing, quality, simhash
+from atalaya.llm import exact_stream, extraction, mixing, packing, pii, quality, simhash
 from atalaya.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,9 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": lambda spark, d: exact_stream.op3(spark, f"{d}/documents.parquet"),
     "op4_simhash": lambda spark, d: simhash.op4(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.packed(documents(spark, d)),
+    "op8_extraction": lambda spark, d: extraction.extracted(spark.read.parquet(f"{d}/pages.parquet")),
     "op9_quality": lambda spark, d: quality.op9(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op10_pii": lambda spark, d: pii.op10(documents(spark, d)),
 }
 
 CHECKS: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": exact_stream.OP3_SQL}
