@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atalaya.llm import exact_stream, extraction, mixing, packing, pii, quality, simhash
+from atalaya.llm import exact_stream, extraction, imatch, mixing, packing, pii, quality, simhash, suffixes
 from atalaya.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": lambda spark, d: mixing.op1(documents(spark, d)),
+    "op2_suffixes": lambda spark, d: suffixes.repeated_passages(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact_stream.op3(spark, f"{d}/documents.parquet"),
     "op4_simhash": lambda spark, d: simhash.op4(documents(spark, d)),
+    "op5_imatch": lambda spark, d: imatch.compared_with_edits(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.packed(documents(spark, d)),
     "op8_extraction": lambda spark, d: extraction.extracted(spark.read.parquet(f"{d}/pages.parquet")),
     "op9_quality": lambda spark, d: quality.op9(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
