@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": lambda spark, d: simhash.op4(documents(spark, d)),
     "op5_imatch": lambda spark, d: imatch.compared_with_edits(documents(spark, d)),
     "op6_packing": lambda spark, d: packing.packed(documents(spark, d)),
-    "op7_lines": lambda spark, d: lines.deduplicated(documents(spark, d), with_text=False),
+    "op7_lines": lambda spark, d: lines.deduplicated(documents(spark, d), with_rows=False),
     "op8_extraction": lambda spark, d: extraction.extracted(spark.read.parquet(f"{d}/pages.parquet")),
     "op9_quality": lambda spark, d: quality.op9(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op10_pii": lambda spark, d: pii.op10(documents(spark, d)),
