@@ -43,6 +43,7 @@ def stream_classes(
     own = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores would each reserve space
     }
     before = {k: spark.conf.get(k, None) for k in own}
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -92,12 +93,22 @@ def exact_duplicates(
     hits = classes.where("size > 1").select(F.col("digest").alias("seen"), "keep_id", F.col("file").alias("at"))
     arrivals = _arrivals(table, digest)
     joined = arrivals.join(checkpointed(hits), F.col("digest") == F.col("seen"), "left")
-    single = joined.where("seen is null").select(
+    hit = F.col("seen").isNotNull()
+    joined = checkpointed(
+        joined.select(
+            "doc_id",
+            "digest",
+            hit.alias("hit"),
+            (hit & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("file") == F.col("at"))).alias("retained"),
+            F.when(hit, F.col("text")).alias("text"),
+        )
+    )
+    single = joined.where("not hit").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest"
     )
-    again = joined.where("seen is not null")
+    again = joined.where("hit")
     retained = checkpointed(
-        again.where("doc_id <=> keep_id and file = at")
+        again.where("retained")
         .groupBy(F.col("digest").alias("kept_digest"))
         .agg(F.max("text").alias("kept_text"))
     )
