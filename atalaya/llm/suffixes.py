@@ -192,6 +192,19 @@ def sort_direct(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at
 
 
+def judged_pieces(contents: list[bytes], owners: np.ndarray) -> np.ndarray:
+    """repeats() of the distinct pieces; a further copy of a piece is a repeat as a whole."""
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(c, len(number)) for c in contents), np.int64, len(contents))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, owners)
+    masks = repeats(list(number), least)[which]
+    later = owners > least[which]
+    size = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
+    masks[later] = ((1 << size[later]) - 1).astype(np.uint32)
+    return masks
+
+
 def repeats(contents: list[bytes], owners: np.ndarray) -> np.ndarray:
     """For each piece a mask of its strings that a piece with a smaller owner also has."""
     joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
@@ -247,7 +260,7 @@ def bucket_of_entry(key: int, content: bytes, hot: bool, buckets: int) -> int:
 def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     shared = [unpacked48(x) for x in table.column("shared").to_pylist()]
     hot = [unpacked48(x) for x in table.column("hot").to_pylist()]
-    join = lambda x: np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64)
+    join = lambda x: np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64)
     return join(shared), join(hot)
 
 
@@ -312,12 +325,20 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
         entries, _ = distinct_runs(*documents_in_order(table), *_shared_of(keys))
         lots: dict[int, list] = {}
         for (key, content), (_, owner, hot) in entries.items():
-            held = lots.setdefault(bucket_of_entry(key, content, hot, buckets), ([], [], [], []))
-            for values, x in zip(held, (key, len(content), owner, content), strict=True):
+            held = lots.setdefault(bucket_of_entry(key, content, hot, buckets), ([], [], [], [], []))
+            for values, x in zip(held, (key, len(content), owner, content, hot), strict=True):
                 values.append(x)
         out = [
-            (lot, part, packed48(np.array(k, np.uint64)), np.array(s, np.uint8).tobytes(), np.array(o, np.int64).tobytes(), b"".join(c))
-            for lot, (k, s, o, c) in lots.items()
+            (
+                lot,
+                part,
+                packed48(np.array(k, np.uint64)),
+                np.array(s, np.uint8).tobytes(),
+                np.array(o, np.int64).tobytes(),
+                b"".join(c),
+                packed48(np.unique(np.array(k, np.uint64)[np.array(h, bool)])),
+            )
+            for lot, (k, s, o, c, h) in lots.items()
         ]
         return _table(out, *RUN_COLUMNS)
 
@@ -339,26 +360,26 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             end = max(end, begin + 1)
             end = int(np.searchsorted(keys[by_key], keys[by_key[end - 1]], side="right"))
             chosen = by_key[begin:end]
-            masks[chosen] = repeats([data[a : a + s] for a, s in zip(at[chosen].tolist(), sizes[chosen].tolist(), strict=True)], owners[chosen])
+            contents = [data[a : a + s] for a, s in zip(at[chosen].tolist(), sizes[chosen].tolist(), strict=True)]
+            masks[chosen] = judged_pieces(contents, owners[chosen])
             begin = end
         lot = table.column("lot")[0].as_py()
         out, begin = [], 0
         for i in order:
             n = len(got[i][1])
-            out.append((parts[i], lot, masks[begin : begin + n].tobytes()))
+            shared = packed48(np.unique(unpacked48(got[i][0])))
+            out.append((parts[i], lot, masks[begin : begin + n].tobytes(), shared, table.column("hot")[i].as_py()))
             begin += n
-        return _table(out, ("part", pa.int32()), ("lot", pa.int32()), ("masks", pa.binary()))
+        return _table(out, *((c, pa.int32()) for c in ("part", "lot")), *((c, pa.binary()) for c in ("masks", "shared", "hot")))
 
     def remove(table: pa.Table, keys: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], *result)
         ids, texts = documents_in_order(table)
-        told = keys.filter(pa.compute.is_valid(keys.column("shared")))
-        judged = keys.filter(pa.compute.is_valid(keys.column("masks")))
-        entries, found = distinct_runs(ids, texts, *_shared_of(told))
+        entries, found = distinct_runs(ids, texts, *_shared_of(keys))
         masks = {
             lot: iter(np.frombuffer(m, np.uint32).tolist())
-            for lot, m in zip(judged.column("lot").to_pylist(), judged.column("masks").to_pylist(), strict=True)
+            for lot, m in zip(keys.column("lot").to_pylist(), keys.column("masks").to_pylist(), strict=True)
         }
         for (key, content), entry in entries.items():
             entry.append(next(masks[bucket_of_entry(key, content, entry[2], buckets)]))
@@ -391,13 +412,10 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     counted = rows.groupBy("part").applyInArrow(count_keys, "lot int, part int, once binary, often binary")
     shared = counted.groupBy("lot").applyInArrow(find_shared, "part int, shared binary, hot binary")
     sent = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
-        send_runs, "lot int, part int, keys binary, sizes binary, owners binary, contents binary"
+        send_runs, "lot int, part int, keys binary, sizes binary, owners binary, contents binary, hot binary"
     )
-    judged = sent.groupBy("lot").applyInArrow(sort_bucket, "part int, lot int, masks binary")
-    told = shared.select("part", "shared", "hot", F.lit(None).cast("int").alias("lot"), F.lit(None).cast("binary").alias("masks"))
-    none = F.lit(None).cast("binary")
-    both = told.unionByName(judged.select("part", none.alias("shared"), none.alias("hot"), "lot", "masks"))
-    return rows.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(remove, kinds)
+    judged = sent.groupBy("lot").applyInArrow(sort_bucket, "part int, lot int, masks binary, shared binary, hot binary")
+    return rows.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(remove, kinds)
 
 
 RUN_COLUMNS = (
@@ -407,6 +425,7 @@ RUN_COLUMNS = (
     ("sizes", pa.binary()),
     ("owners", pa.binary()),
     ("contents", pa.binary()),
+    ("hot", pa.binary()),
 )
 
 
