@@ -50,6 +50,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows from a table in the shared folder: like a checkpoint, but compressed."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int = 4_000_000, column: str = "data") -> Iterator[pa.Table]:
     """Regroup Arrow batches of one task into tables of about `size` bytes of `column`."""
     held, total = [], 0
