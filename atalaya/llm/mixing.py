@@ -13,6 +13,8 @@ from atalaya.llm.common import SPACE, bounded_broadcast, whole_text
 #: Target of a margin: shares by value, or an exponent that tempers the corpus's own shares (1 keeps, 0 levels them).
 Target = Mapping[str, float] | float
 ROUNDS = 15
+#: The share of all tokens that a sample keeps, and the steps that find the rates for it.
+BUDGET, RATE_STEPS = 0.5, 8
 #: What a document is about, as its surface shows it; the first test that holds gives the topic.
 TOPICS = (("contact", "@"), ("legal", "icense"), ("table", " | "), ("noise", "!!"))
 DEFAULT_TARGETS: dict[str, Target] = {
@@ -68,16 +70,22 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], rounds: int = ROUNDS)
     return out.select(*targets, "tokens", "weight", "residual")
 
 
-def sampling_rates(cells: DataFrame, budget: float | None = None) -> DataFrame:
+def sampling_rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Raked cells with `rate`, the chance of each of the cell's documents.
 
-    Without a budget (a share of all tokens) the rates are as high as they can be with no rate over one, so that the
-    kept tokens meet the targets. With a budget, rates over one are cut to one.
+    Rates follow weight over tokens, scaled so that the expected sample holds `budget` of all tokens. No document is
+    taken twice: where a cell has too few tokens for its weight its rate is one, and the scale is found again for the
+    other cells.
     """
     everything = Window.partitionBy(F.lit(0))
-    raw = F.col("weight") / F.col("tokens")
-    scale = 1 / F.max(raw).over(everything) if budget is None else F.lit(float(budget)) * F.sum("tokens").over(everything)
-    return cells.withColumn("rate", F.least(F.lit(1.0), raw * scale))
+    wanted = F.lit(float(budget)) * F.sum("tokens").over(everything)
+    out = cells.withColumn("scale", wanted)
+    for _ in range(RATE_STEPS):
+        full = F.col("weight") * F.col("scale") >= F.col("tokens")
+        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(everything)
+        free = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(everything)
+        out = out.withColumn("scale", F.when(free > 0, (wanted - taken) / free).otherwise(F.col("scale")))
+    return out.withColumn("rate", F.least(F.lit(1.0), F.col("weight") * F.col("scale") / F.col("tokens"))).drop("scale")
 
 
 def draw(key: Column) -> Column:
@@ -87,7 +95,7 @@ def draw(key: Column) -> Column:
     )
 
 
-def mixed_rates(docs: DataFrame, targets: Mapping[str, Target] | None = None, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+def mixed_rates(docs: DataFrame, targets: Mapping[str, Target] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """Each row's own columns with mix_topic, mix_tokens, mix_weight, mix_rate, mix_draw, mix_selected.
 
     Tokens are words between ASCII blanks. A null source or language is a value of its own; rows without words
@@ -109,7 +117,7 @@ def mixed_rates(docs: DataFrame, targets: Mapping[str, Target] | None = None, ro
     return out.withColumn("mix_selected", F.col("mix_draw") < F.col("mix_rate"))
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Target] | None = None, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: Mapping[str, Target] | None = None, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """The sampled documents with the columns of docs."""
     return mixed_rates(docs, targets, rounds, budget).where("mix_selected").select(*docs.columns)
 
@@ -157,7 +165,14 @@ def rates_sql(docs: str = "documents", rounds: int = ROUNDS) -> str:
         for c in targets:
             n += 1
             steps.append(f"step{n} AS MATERIALIZED (SELECT * REPLACE (weight * want_{c} / sum(weight) OVER (PARTITION BY {c}) AS weight) FROM step{n - 1})")
-    steps.append(f"rated AS (SELECT source, lang, topic, weight, least(1.0, weight / tokens / max(weight / tokens) OVER ()) AS rate FROM step{n})")
+    steps.append(f"scale0 AS (SELECT source, lang, topic, tokens, weight, {BUDGET} * sum(tokens) OVER () AS scale FROM step{n})")
+    for k in range(RATE_STEPS):
+        full = "weight * scale >= tokens"
+        steps.append(
+            f"scale{k + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(({BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) FILTER ({full}) OVER (), 0)) "
+            f"/ nullif(sum(weight) FILTER (NOT {full}) OVER (), 0), scale) AS scale) FROM scale{k})"
+        )
+    steps.append(f"rated AS (SELECT source, lang, topic, weight, least(1.0, weight * scale / tokens) AS rate FROM scale{RATE_STEPS})")
     steps.append(
         "mixed AS (SELECT d.*, r.weight, coalesce(r.rate, 1.0) AS rate, "
         "('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < coalesce(r.rate, 1.0) AS selected "
