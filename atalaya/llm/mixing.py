@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atalaya.llm.common import SPACE, bounded_broadcast, whole_text
+from atalaya.llm.common import SPACE, bounded_broadcast, checkpointed, whole_text
 
 #: Target of a margin: shares by value, or an exponent that tempers the corpus's own shares (1 keeps, 0 levels them).
 Target = Mapping[str, float] | float
@@ -60,7 +60,9 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], rounds: int = ROUNDS)
             total = F.sum(F.when(F.col(f"first_{c}"), raw)).over(everything)
             out = out.withColumn(f"want_{c}", raw / total)
     out = out.select(*targets, "tokens", *[f"want_{c}" for c in targets], (F.col("tokens") / F.sum("tokens").over(everything)).alias("weight"))
-    for _ in range(rounds):
+    for n in range(rounds):
+        if n and n % ROUNDS == 0:
+            out = checkpointed(out)  # a plan of hundreds of windows is too deep for a task
         for c in targets:
             total = F.sum("weight").over(margins[c])
             out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"want_{c}") / total).otherwise(0.0))
