@@ -38,7 +38,8 @@ def first_of(c: Column, patterns: list[str]) -> Column:
 
 def group_index(pattern: Column) -> Column:
     """1 where a pattern has a capture group, else 0 (the whole match)."""
-    return F.when(F.regexp_like(pattern, F.lit(r"(?<!\\)\((?!\?)")), 1).otherwise(0)
+    bare = F.regexp_replace(pattern, r"\\.|\[(?:\\.|[^\]\\])*\]", "")
+    return F.when(F.regexp_like(bare, F.lit(r"\((?!\?)|\(\?<[A-Za-z]")), 1).otherwise(0)
 
 
 def rule_extract(c: Column, pattern: Column) -> Column:

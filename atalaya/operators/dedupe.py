@@ -12,11 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from atalaya import fixed_values as fixed
-
 
 def cap_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = fixed.FEED_MAX_ITEMS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 ) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

@@ -45,7 +45,9 @@ def _item(e: Column, atom: bool) -> Column:
     )
 
 
-def read_feeds(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
+def read_feeds(
+    captures: DataFrame, body: str = "contenido_crudo", max_items: int | None = None
+) -> DataFrame:
     """Captures with their ``entries`` array and a ``reject_reason``.
 
     Broken XML and other roots reject the capture; so does a feed that has
@@ -74,19 +76,20 @@ def read_feeds(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
     )
     return listed.withColumns(
         {
-            "entries": F.slice("_usable", 1, fixed.FEED_MAX_ITEMS),
+            "entries": F.col("_usable") if max_items is None else F.slice("_usable", 1, max_items),
             "reject_reason": reason,
         }
     ).drop("_root", "_doc", "_all", "_usable", body)
 
 
-def extract_feed(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
-    """Relevant items of every good feed, the first fifty of each.
+def extract_feed(
+    captures: DataFrame, body: str = "contenido_crudo", max_items: int | None = None
+) -> DataFrame:
+    """Relevant items of every good feed, or the first ``max_items`` of each.
 
-    The cap is the feed reader's own and works on the capture's array, so no
-    rows of a source have to meet.
+    A limit works on the capture's array, so no rows of a source have to meet.
     """
-    feeds = read_feeds(captures, body).where("reject_reason IS NULL")
+    feeds = read_feeds(captures, body, max_items).where("reject_reason IS NULL")
     kept = [c for c in feeds.columns if c not in ("entries", "reject_reason")]
     rows = feeds.select(*kept, F.posexplode("entries").alias("pos", "e")).select(*kept, "pos", "e.*")
     both = F.concat_ws(" ", "titulo", "texto")
@@ -97,7 +100,7 @@ def extract_feed(captures: DataFrame, body: str = "contenido_crudo") -> DataFram
         .otherwise(surrogate_id(fixed.FEED_ID, F.col("titulo")))
         .alias("identificador"),
         "titulo",
-        F.nullif(F.substring("texto", 1, fixed.DESCRIPTION_CHARS), F.lit("")).alias("descripcion"),
+        F.nullif("texto", F.lit("")).alias("descripcion"),
         F.nullif(F.col("link"), F.lit("")).alias("url_detalle"),
         normalize_status(both).alias("estado"),
         find_date(both).alias("fecha_cierre"),

@@ -216,7 +216,7 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
         keys,
         ["page_ord", "pos"],
     )
-    description = F.substring("_p", 1, fixed.DESCRIPTION_CHARS)
+    description = F.col("_p")
     segment = F.nullif(last_segment(F.col("href")), F.lit(""))
     return firsts.where(F.length("titulo") >= 3).select(
         *kept,
@@ -332,7 +332,7 @@ def extract_news(pages: DataFrame, base_url: str) -> DataFrame:
             surrogate_id(fixed.NEWS_ID, title),
         ).alias("identificador"),
         "titulo",
-        F.nullif(F.substring("_body", 1, fixed.DESCRIPTION_CHARS), F.lit("")).alias("descripcion"),
+        F.nullif("_body", F.lit("")).alias("descripcion"),
         resolve_url(F.col("href"), F.lit(base_url)).alias("url_detalle"),
         normalize_status(both).alias("estado"),
         blank_to_null(F.regexp_extract(both, "(?U)" + fixed.NEWS_DATE, 0)).alias("fecha_cierre"),

@@ -86,25 +86,24 @@ def pack_context(
     keys: list[str],
     whole_text: DataFrame | None = None,
     budget: int = fixed.CONTEXT_CHARS,
-    fragment_chars: int = fixed.FRAGMENT_CHARS,
+    fragment_chars: int | None = None,
 ) -> DataFrame:
     """Leading fragments of each page that fit a character budget, joined.
 
-    ``fragments``: keys, ``pos`` (0, 1, 2 ... per page) and ``fragmento``. It
-    stops at the first fragment that does not fit. Every fragment takes a
-    character and all but the first a separator, so positions beyond
-    ``bound`` cannot be kept and are dropped before anything is grouped: a
-    page's group is bounded by the budget. Pages where nothing fits fall back
-    to the start of their text.
+    ``fragments``: keys, ``pos`` (any numbers that order a page's fragments)
+    and ``fragmento``. Empty fragments take nothing. It stops at the first
+    fragment that does not fit; what is gathered per page is bounded by the
+    budget. Fragments are cut only where ``fragment_chars`` is given. Pages
+    where nothing fits fall back to the start of their text.
     """
     separator = fixed.FRAGMENT_SEPARATOR
-    bound = (budget + len(separator)) // (1 + len(separator)) + 1
     order = Window.partitionBy(*keys).orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    filled = fragments.where(F.col("fragmento") != "")
+    if fragment_chars is not None:
+        filled = filled.withColumn("fragmento", F.substring("fragmento", 1, fragment_chars))
     sized = (
-        fragments.where((F.col("fragmento") != "") & (F.col("pos") <= bound))
-        .withColumn("fragmento", F.substring("fragmento", 1, fragment_chars))
-        .withColumn("_size", F.length("fragmento"))
+        filled.withColumn("_size", F.length("fragmento"))
         .withColumn("_kept", F.coalesce(F.sum("_size").over(before), F.lit(0)))
         .withColumn("_n", F.row_number().over(order) - 1)
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atalaya import fixed_values as fixed
 from atalaya.operators import extract_feed as feeds
 from atalaya.operators import extract_html as pages_html
 from atalaya.operators import extract_json as json_items
@@ -110,7 +111,7 @@ def list_profiles(spark, d):
 # --- paging -------------------------------------------------------------------
 @query(
     "consolidate_pages_short",
-    f"""{cte('paginas')}, x as (select fuente_id, least(min(page) filter (n_items < 20), min(page - 1) filter (n_items is null), 50) as u from paginas group by 1)
+    f"""{cte('paginas')}, x as (select fuente_id, coalesce(least(min(page) filter (n_items < 20), min(page - 1) filter (n_items is null)), max(page)) as u from paginas group by 1)
         select fuente_id, page, n_items from paginas join x using (fuente_id) where page <= u""",
 )
 def consolidate_pages_short(spark, d):
@@ -127,7 +128,7 @@ def consolidate_pages_short(spark, d):
 
 @query(
     "consolidate_pages_total",
-    f"""{cte('paginas')}, x as (select fuente_id, least(greatest(coalesce(max(total_pages) filter (page = 1), 1), 1), min(page) filter (n_items = 0), 50) as u
+    f"""{cte('paginas')}, x as (select fuente_id, least(greatest(coalesce(max(total_pages) filter (page = 1), 1), 1), min(page) filter (n_items = 0)) as u
         from paginas group by 1) select fuente_id, page, n_items from paginas join x using (fuente_id) where page <= u""",
 )
 def consolidate_pages_total(spark, d):
@@ -138,7 +139,7 @@ def consolidate_pages_total(spark, d):
     "consolidate_pages_found",
     f"""{cte('paginas')}, x as (select fuente_id, max(found) filter (page = 1) as f, min(page) filter (html = '') - 1 as e from paginas group by 1),
         y as (select fuente_id, page, min(html) as html, any_value(f) as f from paginas join x using (fuente_id)
-        where page <= least(case when f > 0 then cast(ceil(f / 10.0) as int) end, e, 12) group by 1, 2)
+        where page <= coalesce(least(case when f > 0 then cast(ceil(f / 10.0) as int) end, e), page) group by 1, 2)
         select fuente_id, string_agg(html, chr(10) order by page) as html, case when min(page) = 1 then any_value(f) end as total_found,
         max(page) as pages_fetched from y group by 1""",
 )
@@ -456,16 +457,18 @@ def responses_to_items(spark, d):
 
 @query(
     "pack_context",
-    """with f as (select conv_id, turn, left(text, 400) as t, length(left(text, 400)) as n from conversations where text <> ''),
+    f"""with f as (select conv_id, turn, text as t, length(text) as n from conversations where text <> ''),
         s as (select *, coalesce(sum(n) over w, 0) as k, row_number() over (partition by conv_id order by turn) - 1 as i from f
         window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)),
-        o as (select *, max(case when k + greatest(i - 1, 0) * 7 + n > 1000 then 1 else 0 end) over (partition by conv_id order by turn) as stop from s),
+        o as (select *, max(case when k + greatest(i - 1, 0) * 7 + n > {fixed.CONTEXT_CHARS} then 1 else 0 end) over (partition by conv_id order by turn) as stop from s),
         p as (select conv_id, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as contexto, count(*) as fragmentos from o where stop = 0 group by 1)
-        select c.conv_id, coalesce(contexto, left(texto, 1000)) as contexto, coalesce(fragmentos, 0) as fragmentos
-        from (select conv_id, min_by(text, turn) as texto from conversations group by 1) c left join p using (conv_id)""",
+        select c.conv_id, coalesce(contexto, left(texto, {fixed.CONTEXT_CHARS})) as contexto, coalesce(fragmentos, 0) as fragmentos
+        from (select conv_id, coalesce(string_agg(text, chr(10) order by turn), '') as texto from conversations group by 1) c left join p using (conv_id)""",
 )
 def pack_context(spark, d):
     turns = read(spark, d, "conversations")
     fragments = turns.select("conv_id", C("turn").alias("pos"), C("text").alias("fragmento"))
-    whole = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("texto"))
-    return responses.pack_context(fragments, ["conv_id"], whole, budget=1000, fragment_chars=400)
+    in_order = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    texts = F.transform(in_order, lambda t: t.text)
+    whole = turns.groupBy("conv_id").agg(F.array_join(texts, "\n").alias("texto"))
+    return responses.pack_context(fragments, ["conv_id"], whole)

@@ -44,7 +44,7 @@ def dedupe_first(spark, d):
 )
 def cap_per_group(spark, d):
     order = [F.desc("l_shipdate")] + [F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")]
-    capped = dedupe.cap_per_group(read(spark, d, "lineitem"), ["l_suppkey"], order)
+    capped = dedupe.cap_per_group(read(spark, d, "lineitem"), ["l_suppkey"], order, 50)
     return capped.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 

@@ -18,6 +18,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # whole pages go to Python: fewer of them at a time
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
 }
 
@@ -35,7 +36,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach, for streams and written tables.
 
     The cluster names its shared storage in ``spark.checkpoint.dir``; only
-    where that is unset (tests on one machine) a local folder is used.
+    a local master may do without it and gets a folder of its own machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="atalaya-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="atalaya-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -71,7 +71,8 @@ def split_bundle(bundles: DataFrame, body: str = "contenido_crudo") -> DataFrame
     name used twice keeps the last text.
     """
     marked = F.concat(F.lit("\n"), F.col(body))
-    chunks = F.slice(F.split(marked, r"\n===PAGE:(?=[^\n]*===(?:\n|$))"), 2, 1_000_000)
+    parts = F.split(marked, r"\n===PAGE:(?=[^\n]*===(?:\n|$))")
+    chunks = F.slice(parts, F.lit(2), F.size(parts))
     pages = F.transform(
         chunks,
         lambda c, i: F.struct(

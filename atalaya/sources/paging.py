@@ -25,6 +25,12 @@ def _keep_until(pages: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
+def _last_page(stop: Column, max_pages: int | None) -> Column:
+    """Where a series ends; all landed pages count unless a rule or a given limit ends it."""
+    last = F.coalesce(stop, F.max("page"))
+    return (last if max_pages is None else F.least(last, F.lit(max_pages))).alias("_last_page")
+
+
 def page_size(body: Column, root: str = "$") -> Column:
     """Number of items of a JSON page; NULL where the root is not a list."""
     listed = body if root == "$" else F.get_json_object(body, root)
@@ -32,7 +38,7 @@ def page_size(body: Column, root: str = "$") -> Column:
 
 
 def consolidate_pages_short(
-    pages: DataFrame, size: int, max_pages: int = fixed.SHORT_PAGE_MAX_PAGES
+    pages: DataFrame, size: int, max_pages: int | None = None
 ) -> DataFrame:
     """Pages up to the first one with fewer than ``size`` items, that included.
 
@@ -44,15 +50,12 @@ def consolidate_pages_short(
     stop = F.least(
         F.min(F.when(short, F.col("page"))),
         F.min(F.when(broken, F.col("page") - 1)),
-        F.lit(max_pages),
     )
-    limits = pages.groupBy(*RUN).agg(stop.alias("_last_page"))
+    limits = pages.groupBy(*RUN).agg(_last_page(stop, max_pages))
     return _keep_until(pages, limits)
 
 
-def consolidate_pages_total(
-    pages: DataFrame, max_pages: int = fixed.TOTAL_MAX_PAGES
-) -> DataFrame:
+def consolidate_pages_total(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages up to the total that the first page declares (none declared: one).
 
     An empty page ends the series: the page after it was never asked for.
@@ -60,14 +63,14 @@ def consolidate_pages_total(
     declared = F.coalesce(F.max(F.when(F.col("page") == 1, F.col("total_pages"))), F.lit(1))
     first_empty = F.min(F.when(F.col("n_items") == 0, F.col("page")))
     limits = pages.groupBy(*RUN).agg(
-        F.least(F.greatest(declared, F.lit(1)), first_empty, F.lit(max_pages)).alias("_last_page")
+        _last_page(F.least(F.greatest(declared, F.lit(1)), first_empty), max_pages)
     )
     return _keep_until(pages, limits)
 
 
 def consolidate_pages_found(
     pages: DataFrame,
-    max_pages: int = fixed.FOUND_MAX_PAGES,
+    max_pages: int | None = None,
     page_size: int = fixed.FOUND_PAGE_SIZE,
 ) -> DataFrame:
     """Pages before the first empty html, up to the count the first page found."""
@@ -75,9 +78,7 @@ def consolidate_pages_found(
     enough = F.when(found > 0, F.ceil(found / page_size))
     empty = F.coalesce(F.col("html"), F.lit("")) == ""
     limits = pages.groupBy(*RUN).agg(
-        F.least(
-            enough, F.min(F.when(empty, F.col("page"))) - 1, F.lit(max_pages)
-        ).alias("_last_page")
+        _last_page(F.least(enough, F.min(F.when(empty, F.col("page"))) - 1), max_pages)
     )
     return _keep_until(pages, limits)
 
