@@ -114,7 +114,7 @@ def mixed_rates(docs: DataFrame, targets: Mapping[str, Target] | None = None, ro
     rated = sampling_rates(rake(cells, targets, rounds), budget)
     rated = rated.select(*[F.col(c).alias(f"cell_{c}") for c in targets], F.col("weight").alias("mix_weight"), F.col("rate").alias("mix_rate"))
     same = reduce(lambda a, b: a & b, [F.col(v).cast("string").eqNullSafe(F.col(f"cell_{c}")) for c, v in named.items()])
-    out = rows.join(bounded_broadcast(rated), same, "left").drop(*[f"cell_{c}" for c in targets])
+    out = rows.join(bounded_broadcast(checkpointed(rated)), same, "left").drop(*[f"cell_{c}" for c in targets])
     out = out.withColumns({"mix_rate": F.coalesce("mix_rate", F.lit(1.0)), "mix_draw": draw(F.col("doc_id"))})
     return out.withColumn("mix_selected", F.col("mix_draw") < F.col("mix_rate"))
 
