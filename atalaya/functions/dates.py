@@ -55,16 +55,21 @@ def spark_format(fmt: Column) -> Column:
     marks = [(code, chr(0xE000 + i), letters) for i, (code, letters) in enumerate(codes.items())]
     for code, mark, _ in marks:
         fmt = F.replace(fmt, F.lit(code), F.lit(mark))
-    fmt = F.regexp_replace(fmt, r"([A-Za-z]+)", "'$1'")
+    fmt = F.regexp_replace(F.replace(fmt, F.lit("'"), F.lit("''")), r"([A-Za-z#{}\[\]]+)", "'$1'")
     for _, mark, letters in marks:
         fmt = F.replace(fmt, F.lit(mark), F.lit(letters))
     return fmt
 
 
 def parse_date_fmt(raw: Column, fmt: Column) -> Column:
-    """Date in a configured format; month names become numbers first."""
+    """Date in a configured format; month names become numbers first, short ones where the format has ``%b``."""
     text = F.lower(strip(raw))
     numbered = F.lit(None).cast("string")
+    for number, name in reversed(list(enumerate(fixed.MONTHS_EN, 1))):
+        numbered = F.when(
+            F.contains(fmt, F.lit("%b")) & F.contains(text, F.lit(name[:3])),
+            F.replace(text, F.lit(name[:3]), F.lit(str(number))),
+        ).otherwise(numbered)
     for names in (fixed.MONTHS_EN, fixed.MONTHS_ES):
         for number, name in reversed(list(enumerate(names, 1))):
             numbered = F.when(

@@ -60,8 +60,8 @@ def surrogate_id(label: str, text: Column) -> Column:
 
 
 def stable_key(*parts: Column) -> Column:
-    """Row id that a rerun computes again."""
-    return F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256)
+    """Row id that a rerun computes again; NULL is a value of its own."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
 
 
 def squeeze_blank(c: Column) -> Column:

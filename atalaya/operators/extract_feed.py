@@ -12,18 +12,20 @@ from atalaya.functions.status import normalize_status
 from atalaya.functions.text import any_of, compute_once, strip, surrogate_id
 
 VALUE = "struct<_VALUE:string,_href:string>"
+VALUES = f"array<{VALUE}>"  # an element may repeat; the first one counts
 RSS_ITEM = (
-    f"struct<title:{VALUE},link:{VALUE},description:{VALUE},"
-    f"`content:encoded`:{VALUE},summary:{VALUE},pubDate:{VALUE},`dc:date`:{VALUE},published:{VALUE}>"
+    f"struct<title:{VALUES},link:{VALUES},description:{VALUES},"
+    f"`content:encoded`:{VALUES},summary:{VALUES},pubDate:{VALUES},`dc:date`:{VALUES},published:{VALUES}>"
 )
 ATOM_ENTRY = (
-    f"struct<title:{VALUE},link:{VALUE},description:{VALUE},`content:encoded`:{VALUE},"
-    f"summary:{VALUE},content:{VALUE},published:{VALUE},updated:{VALUE}>"
+    f"struct<title:{VALUES},link:{VALUES},description:{VALUES},`content:encoded`:{VALUES},"
+    f"summary:{VALUES},content:{VALUES},published:{VALUES},updated:{VALUES}>"
 )
 FEED = (
-    f"struct<channel:struct<item:array<{RSS_ITEM}>>,entry:array<{ATOM_ENTRY}>,_corrupt_record:string>"
+    f"struct<channel:array<struct<item:array<{RSS_ITEM}>>>,item:array<{RSS_ITEM}>,"
+    f"entry:array<{ATOM_ENTRY}>,_corrupt_record:string>"
 )
-ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?([\w.-]+)"
+ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:([\w.-]+):)?([\w.-]+)"
 
 
 def _plain(html: Column) -> Column:
@@ -31,17 +33,21 @@ def _plain(html: Column) -> Column:
 
 
 def _item(e: Column, atom: bool) -> Column:
-    """Fields of an entry; the first description element that is there counts."""
+    """Fields of an entry; the first description element that is there counts, and of repeated elements the first."""
+
+    def first(name: str) -> Column:
+        return F.get(e[name], F.lit(0))
+
     names = ["description", "content:encoded", "summary"] + (["content"] if atom else [])
-    body = F.coalesce(*[e[n] for n in names])["_VALUE"]
+    body = F.coalesce(*[first(n) for n in names])["_VALUE"]
     dates = ["published", "updated"] if atom else ["pubDate", "dc:date", "published"]
-    link = strip(F.coalesce(e["link"]["_VALUE"], F.lit("")))
-    link = F.when(link == "", F.coalesce(e["link"]["_href"], F.lit(""))).otherwise(link)
+    link = strip(F.coalesce(first("link")["_VALUE"], F.lit("")))
+    link = F.when(link == "", F.coalesce(first("link")["_href"], F.lit(""))).otherwise(link)
     return F.struct(
-        F.coalesce(strip(e["title"]["_VALUE"]), F.lit("")).alias("titulo"),
+        F.coalesce(strip(first("title")["_VALUE"]), F.lit("")).alias("titulo"),
         F.coalesce(_plain(body), F.lit("")).alias("texto"),
         link.alias("link"),
-        strip(F.coalesce(*[e[n] for n in dates])["_VALUE"]).alias("publicado"),
+        strip(F.coalesce(*[first(n) for n in dates])["_VALUE"]).alias("publicado"),
     )
 
 
@@ -51,14 +57,20 @@ def read_feeds(
     """Captures with their ``entries`` array and a ``reject_reason``.
 
     Broken XML and other roots reject the capture; so does a feed that has
-    items but not one of them usable.
+    items but not one of them usable. A namespace prefix of the root element
+    is taken off its elements; the items of all channels count, in order.
     """
-    root = F.regexp_extract(body, ROOT, 1)
+    root, prefix = F.regexp_extract(body, ROOT, 2), F.regexp_extract(body, ROOT, 1)
+    prefixed = F.concat(F.lit(r"<(/?)\Q"), prefix, F.lit(r"\E:"))
+    plain = F.when(prefix != "", F.regexp_replace(F.col(body), prefixed, F.lit("<$1"))).otherwise(F.col(body))
     doc = F.from_xml(
-        F.col(body), FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+        plain, FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
     read = compute_once(captures, _root=root, _doc=doc)
-    rss = F.transform(F.col("_doc.channel.item"), lambda e: _item(e, atom=False))
+    none = F.array().cast(f"array<{RSS_ITEM}>")
+    listed = F.transform(F.col("_doc.channel"), lambda c: F.coalesce(c["item"], none))
+    found = F.concat(F.coalesce(F.flatten(listed), none), F.coalesce(F.col("_doc.item"), none))
+    rss = F.transform(found, lambda e: _item(e, atom=False))
     atom = F.transform(F.col("_doc.entry"), lambda e: _item(e, atom=True))
     entries = F.coalesce(F.when(F.col("_root") == "rss", rss).otherwise(atom), F.array().cast(
         "array<struct<titulo:string,texto:string,link:string,publicado:string>>"

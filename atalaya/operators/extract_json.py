@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +33,15 @@ class JsonMapping:
 
 
 def variant_paths(path: str | None) -> list[str]:
-    """Variant paths for a dot path: numbers as list positions, then as names."""
+    """Variant paths for a dot path: each number is a list position or a name, as the value at that step is."""
     if not path:
         return ["$"]
 
-    def build(as_index: bool) -> str:
-        steps = [
-            f"[{p}]" if as_index and p.isdigit() else "['" + p.replace("'", "\\'") + "']"
-            for p in path.split(".")
-        ]
-        return "$" + "".join(steps)
+    def step(p: str) -> list[str]:
+        name = "['" + p.replace("'", "\\'") + "']"
+        return [f"[{p}]", name] if p.isdigit() else [name]
 
-    return list(dict.fromkeys([build(True), build(False)]))
+    return ["$" + "".join(steps) for steps in product(*map(step, path.split(".")))]
 
 
 def at_path(value: Column, path: str | None, kind: str = "string") -> Column:

@@ -21,19 +21,27 @@ def upsert_calls(stored: DataFrame, new: DataFrame, as_of) -> DataFrame:
     """Next version of the calls: update where the key exists, else insert.
 
     An update keeps ``id`` and ``creado_en`` and overwrites the business
-    fields; stored rows the run does not have stay as they are.
+    fields; stored rows the run does not have stay as they are. ``metadatos``
+    is carried where the tables have it; a run without it leaves the stored one.
     """
     fields = OVERWRITTEN[:-1]
     now = at(as_of)
-    incoming = new.select(*KEY, F.struct("id", *fields).alias("n"))
+    meta = {side: ["metadatos"] if "metadatos" in t.columns else [] for side, t in (("n", new), ("s", stored))}
+    incoming = new.select(*KEY, F.struct("id", *fields, *meta["n"]).alias("n"))
     current = stored.select(
-        *KEY, F.struct("id", *fields, "creado_en", "actualizado_en").alias("s")
+        *KEY, F.struct("id", *fields, *meta["s"], "creado_en", "actualizado_en").alias("s")
     )
+    carried = []
+    if meta["n"] and meta["s"]:
+        carried = [F.when(F.col("n").isNotNull(), F.col("n.metadatos")).otherwise(F.col("s.metadatos"))]
+    elif meta["n"] or meta["s"]:
+        carried = [F.col("n.metadatos" if meta["n"] else "s.metadatos")]
     touched = F.col("n").isNotNull()
     return current.join(incoming, KEY, "full").select(
         F.coalesce(F.col("s.id"), F.col("n.id")).alias("id"),
         *KEY,
         *[F.when(touched, F.col(f"n.{f}")).otherwise(F.col(f"s.{f}")).alias(f) for f in fields],
+        *[c.alias("metadatos") for c in carried],
         F.coalesce(F.col("s.creado_en"), now).alias("creado_en"),
         F.when(touched, now).otherwise(F.col("s.actualizado_en")).alias("actualizado_en"),
     )

@@ -208,7 +208,7 @@ def persist_notifications(results: DataFrame, history: DataFrame, sent_at: Colum
     """Result rows to append: only those whose event is in the history."""
     known = history.select(F.col("id").alias("evento_id"))
     return results.join(known, "evento_id", "left_semi").select(
-        stable_key(F.col("evento_id"), F.col("canal")).alias("id"),
+        stable_key(F.col("evento_id"), F.col("canal"), F.col("destinatario")).alias("id"),
         F.col("evento_id").alias("historial_cambios_id"),
         "canal",
         "destinatario",

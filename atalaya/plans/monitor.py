@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from atalaya import fixed_values as fixed
 from atalaya.operators.changes import detect_changes
 from atalaya.operators.dedupe import dedupe_last
-from atalaya.operators.filters import liveness_reason, relevance_reason
+from atalaya.functions.text import stable_key
+from atalaya.operators.filters import exclude_patterns, liveness_reason, relevance_reason
 from atalaya.operators.mutate import upsert_calls
 from atalaya.operators.normalize import normalize_items
 from atalaya.operators.reports import run_summary
@@ -40,8 +41,12 @@ def run_stages(
     """Normalized items with ``motivo``: NULL if kept, else the step that drops.
 
     Order of the steps: normalize, keep the last row per key, relevance,
-    liveness. Rows that a later copy of the same key replaces are gone.
+    liveness. Rows that a later copy of the same key replaces are gone, and
+    so are items that their source's exclusion lists name, where the rules
+    carry them.
     """
+    if {"excluir_patrones_titulo", "excluir_patrones_url"} <= set(rules.columns):
+        items = exclude_patterns(items, rules)
     read = normalize_items(items, rules, as_of)
     bad = F.col("reject_reason").isNotNull()
     good = dedupe_last(read.where(~bad), ["fuente_id", "identificador_externo"], order)
@@ -80,9 +85,10 @@ def monitor_run(
 
 
 def audit_rows(rejected: DataFrame, run_id: str, as_of) -> DataFrame:
-    """Audit log rows for what a run set apart."""
+    """Audit log rows for what a run set apart; position and content tell rejects of one key apart."""
+    own = ["id", "snapshot_id", "pos", "titulo", "url_detalle", "motivo", "reject_reason"]
     return rejected.select(
-        F.sha2(F.concat_ws("\x1f", F.lit(run_id), "id", "motivo"), 256).alias("id"),
+        stable_key(F.lit(run_id), *[F.col(c) for c in own if c in rejected.columns]).alias("id"),
         "fuente_id",
         F.lit("WARNING").alias("nivel"),
         F.col("motivo").alias("modulo"),

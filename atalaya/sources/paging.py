@@ -86,10 +86,16 @@ def consolidate_pages_found(
 def merge_found_pages(kept: DataFrame) -> DataFrame:
     """One capture per run from the kept pages.
 
-    A page that landed more than once counts once, so at most the page limit
-    of texts comes together in a run.
+    Of a page that landed more than once the latest copy counts (by
+    ``fecha_captura``; without that column, or at equal times, the first body
+    in text order).
     """
-    once = kept.groupBy(*RUN, "page").agg(F.min("html").alias("html"), F.max("found").alias("found"))
+    html = F.min("html")
+    if "fecha_captura" in kept.columns:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        age = F.timestamp_diff("MICROSECOND", F.col("fecha_captura").cast("timestamp_ntz"), epoch)
+        html = F.min(F.struct(F.coalesce(age, F.lit(2**62)).alias("age"), "html"))["html"]
+    once = kept.groupBy(*RUN, "page").agg(html.alias("html"), F.max("found").alias("found"))
     ordered = F.array_sort(F.collect_list(F.struct("page", "html")))
     merged = once.groupBy(*RUN).agg(
         F.array_join(F.transform(ordered, lambda p: p.html), "\n").alias("html"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +41,41 @@ def read_rule_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_name").alias("archivo"), F.col("value").alias("texto"))
 
 
+DATE_CODES = frozenset("dmBbYyHMS")
+
+
+def _good_pattern(pattern: str) -> bool:
+    """A pattern that compiles, without what Spark's patterns read differently (a bracket inside a class, conditions)."""
+    try:
+        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+    except (re.error, OverflowError):
+        return False
+    classes = re.findall(r"\\.|\[(\^?\]?(?:\\.|[^\]\\])*)\]", pattern, re.S)
+    odd = any(re.search(r"\[|&&|^\^?\]", re.sub(r"\\.", "", c, flags=re.S)) for c in classes)
+    return not odd and not re.search(r"\(\?\(|\(\?P?<[A-Za-z0-9]*_|\(\?P[=>]|\\Z", pattern)
+
+
+def _spark_patterns(doc: dict) -> str | None:
+    """Bring a document's patterns to Spark's form, or say what is wrong with one of them."""
+    items = doc.get("normalizadores")
+    for item in items.values() if isinstance(items, dict) else ():
+        if not isinstance(item, dict):
+            continue
+        pattern, fmt = item.get("regex_extraction"), item.get("formato_salida")
+        if pattern is not None:
+            if not _good_pattern(str(pattern)):
+                return "patron_invalido"
+            item["regex_extraction"] = str(pattern).replace("(?P<", "(?<")
+        if fmt is not None and not set(re.findall(r"%(.?)", str(fmt), re.S)) <= DATE_CODES:
+            return "formato_invalido"
+    titles = doc.get("excluir_patrones_titulo")
+    if isinstance(titles, list):
+        if not all(_good_pattern(str(t)) for t in titles):
+            return "patron_invalido"
+        doc["excluir_patrones_titulo"] = [str(t).replace("(?P<", "(?<") for t in titles]
+    return None
+
+
 def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
@@ -52,7 +88,8 @@ def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return None, "yaml_invalido"
         if not doc or not isinstance(doc, dict):
             return None, "no_es_diccionario"
-        return json.dumps(doc, ensure_ascii=False, default=str), None
+        reason = _spark_patterns(doc)
+        return json.dumps(doc, ensure_ascii=False, default=str), reason
 
     for pdf in batches:
         parsed = [one(t or "") for t in pdf["texto"]]
@@ -64,7 +101,8 @@ def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def load_rules(documents: DataFrame) -> DataFrame:
     """Typed rules of every document, with ``reject_reason`` (NULL = valid).
 
-    A bad document never stops the others.
+    A bad document never stops the others: patterns and date formats are tried
+    here, so none of them can fail inside a run over all sources.
     """
     parsed = documents.select("archivo", "texto").mapInPandas(
         _yaml_batches, "archivo string, documento string, reject_reason string"
@@ -121,6 +159,8 @@ def normalizer_rules(sources: DataFrame, rules: DataFrame) -> DataFrame:
         F.col(n + "monto").isNotNull().alias("monto_normaliza"),
         F.col(n + "monto.regex_extraction").alias("monto_regex"),
         "region_defecto",
+        "excluir_patrones_titulo",
+        "excluir_patrones_url",
     )
     return (
         sources.select(F.col("id").alias("fuente_id"), "nombre", "url_base")

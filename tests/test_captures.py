@@ -118,7 +118,18 @@ def test_feeds(spark):
         ("Concurso abierto", "ABIERTO", "http://a"), ("Fondo cerrado", "CERRADO", None), ("Programa", "DESCONOCIDO", "http://c"),
     ]
     assert got[0].descripcion == "Hola $5" and got[0].monto == "$5" and got[1].identificador.startswith("rss-")
-    assert sum(r.snapshot_id == 2 for r in got) == 50
+    assert sum(r.snapshot_id == 2 for r in got) == 60
+    assert feeds.extract_feed(rows.where("snapshot_id = 2"), max_items=50).count() == 50
+
+
+def test_feed_shapes(spark):
+    atom = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Fondo uno</title><title>Otro fondo</title><link rel='alternate' href='http://a'/><link rel='self' href='http://b'/></entry></feed>"
+    prefixed = "<?xml version='1.0'?><a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:entry><a:title>Fondo dos</a:title><a:link href='http://c'/></a:entry></a:feed>"
+    channels = "<rss><channel><item><title>Fondo tres</title></item></channel><channel><title>x</title></channel><channel><item><title>Fondo cuatro</title></item></channel></rss>"
+    loose = "<rss><item><title>Fondo cinco</title><link>http://e</link></item></rss>"
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate([atom, prefixed, channels, loose])], "snapshot_id int, contenido_crudo string")
+    got = [(r.snapshot_id, r.titulo, r.url_detalle) for r in feeds.extract_feed(rows).orderBy("snapshot_id", "pos").collect()]
+    assert got == [(0, "Fondo uno", "http://a"), (1, "Fondo dos", "http://c"), (2, "Fondo tres", None), (2, "Fondo cuatro", None), (3, "Fondo cinco", "http://e")]
 
 
 def test_responses(spark):
@@ -148,7 +159,8 @@ def kept(df):
 def test_paging(spark):
     assert kept(paging.consolidate_pages_short(run_pages(spark, [3, 2, 3]), 3)) == [1, 2]
     assert kept(paging.consolidate_pages_short(run_pages(spark, [3, None, 3]), 3)) == [1]
-    assert kept(paging.consolidate_pages_short(run_pages(spark, [3] * 60), 3)) == list(range(1, 51))
+    assert kept(paging.consolidate_pages_short(run_pages(spark, [3] * 60), 3)) == list(range(1, 61))
+    assert kept(paging.consolidate_pages_short(run_pages(spark, [3] * 60), 3, max_pages=50)) == list(range(1, 51))
     total = lambda sizes, n: run_pages(spark, sizes).withColumn("total_pages", F.when(C("page") == 1, F.lit(n)))
     assert kept(paging.consolidate_pages_total(total([5, 5, 5], 2))) == [1, 2]
     assert kept(paging.consolidate_pages_total(total([5, 0, 5], 3))) == [1, 2]
@@ -158,6 +170,9 @@ def test_paging(spark):
     assert kept(paging.consolidate_pages_found(found(["a", "", "c"], 0))) == [1]
     merged = paging.merge_found_pages(paging.consolidate_pages_found(found(["a", "b", "c"], 15))).first()
     assert (merged.html, merged.pages_fetched) == ("a\nb", 2)
+    twice = spark.createDataFrame([("s", "r", 1, 5, "a", "2026-01-01"), ("s", "r", 1, 5, "b", "2026-01-02"), ("s", "r", 1, 5, "c", None)],
+                                  "fuente_id string, run_id string, page int, found int, html string, fecha_captura string")
+    assert paging.merge_found_pages(twice).first().html == "b"
 
 
 def test_bundles(spark):
@@ -177,6 +192,27 @@ def test_rule_documents(spark):
     assert rules.valid_rules(rules.load_rules(rows)).count() == 1
 
 
+def test_bad_patterns_are_set_apart(spark):
+    def doc(pattern="x", fmt="%d/%m/%Y", title="x"):
+        return json.dumps({"nombre": "A", "url_busqueda": "https://a.cl/", "excluir_patrones_titulo": [title],
+                           "normalizadores": {"monto": {"regex_extraction": pattern, "formato_salida": fmt}}})
+
+    docs = {"ok": doc(r"[(]\d+"), "group": doc(r"(?<v>\d+) pesos"), "python": doc(r"(?P<v>\d+)"), "open": doc(r"(\d+"), "class": doc("[[a]"),
+            "title": doc(title="(mal"), "format": doc(fmt="%Q"), "hash": doc(fmt="%d#%m#%Y")}
+    read = rules.load_rules(spark.createDataFrame(list(docs.items()), "archivo string, texto string"))
+    got = {r.archivo: (r.reject_reason, r.normalizadores.monto.regex_extraction) for r in read.collect() if r.normalizadores}
+    assert {k: v[0] for k, v in got.items() if v[0] is None} == dict.fromkeys(["ok", "group", "python", "hash"])
+    reasons = {r.archivo: r.reject_reason for r in read.collect()}
+    assert (reasons["open"], reasons["class"], reasons["title"], reasons["format"]) == ("patron_invalido",) * 3 + ("formato_invalido",)
+    assert got["python"][1] == r"(?<v>\d+)"
+
+
+def test_json_paths_decide_per_step(spark):
+    rows = spark.createDataFrame([(0, '{"d": [{"i": 1, "t": "T", "q": [{"1": "z"}]}]}')], "snapshot_id int, contenido_crudo string")
+    read = jsons.extract_json(rows, jsons.JsonMapping("i", "t", "d", descripcion="q.0.1"))
+    assert jsons.explode_items(read).first().descripcion == "z"
+
+
 def test_profiles(spark):
     known = spark.createDataFrame([(0, "AGENCIA", ["AGENCIA_API"], "r0", "l0"), (1, "FIA", None, "r1", "l1")], "ordinal int, key string, aliases array<string>, root_url string, list_url string")
     sources = spark.createDataFrame([(1, "Agencia api!", "u", "b"), (2, "Fía", "u", "b"), (3, "F.I.A.", "u", "b")], "id int, nombre string, url_base string, url_busqueda string")
@@ -204,7 +240,7 @@ def test_from_rule_documents_to_events(spark):
 
     docs = spark.createDataFrame(
         [
-            ("a.yaml", "nombre: A\nurl_busqueda: https://a.cl/l\nregion_defecto: Maule\nselectores: {contenedor_items: li, identificador: 'attr:id', titulo: b, link_detalle: a, fecha_cierre: i}\n"
+            ("a.yaml", "nombre: A\nurl_busqueda: https://a.cl/l\nregion_defecto: Maule\nselectores: {contenedor_items: li, identificador: 'attr:id', titulo: b, link_detalle: a, fecha_cierre: i}\nexcluir_patrones_titulo: ['^aviso']\nexcluir_patrones_url: ['/FUERA']\n"
                        "normalizadores: {fecha_cierre: {regex_extraction: 'Fin:\\s*(\\d{2}-\\d{2}-\\d{4})', formato_salida: '%d-%m-%Y'}}\n"),
             ("b.yaml", "nombre: B\nurl_busqueda: https://b.cl/l\nestrategia: json_api\njson_mapping: {root_path: datos, identificador: id, titulo: n, link_detalle: u, fecha_cierre: f}\n"),
         ],
@@ -213,7 +249,7 @@ def test_from_rule_documents_to_events(spark):
     known = rules.valid_rules(rules.load_rules(docs))
     sources = spark.createDataFrame([("1", "A", "https://a.cl/"), ("2", "B", "https://b.cl/")], "id string, nombre string, url_base string")
     caps = spark.createDataFrame(
-        [("1", "s1", "<ul><li id=x><b>Fondo X</b><a href=/x>v</a><i>Fin: 31-12-2026</i><li id=y><b>Licitación pública</b><a href=/y>v</a><li id=z><b>Fondo Z</b><a href=/z>v</a><i>pronto</i></ul>", "https://a.cl/"),
+        [("1", "s1", "<ul><li id=x><b>Fondo X</b><a href=/x>v</a><i>Fin: 31-12-2026</i><li id=y><b>Licitación pública</b><a href=/y>v</a><li id=z><b>Fondo Z</b><a href=/z>v</a><i>pronto</i><li id=w><b>Aviso W</b><a href=/w>v</a><li id=v><b>Fondo V</b><a href=/fuera/v>v</a></ul>", "https://a.cl/"),
          ("2", "s2", '{"datos": [{"id": 1, "n": "Uno", "u": "https://b.cl/1", "f": "2026-08-15T00:00:00"}, {"id": 2, "n": "Dos", "u": "https://b.cl/2", "f": "2026-01-01"}]}', "https://b.cl/")],
         "fuente_id string, snapshot_id string, contenido_crudo string, url_base string",
     )

@@ -39,6 +39,12 @@ def test_dates_by_format(spark):
     assert got == [dt.datetime(2026, 12, 31), dt.datetime(2026, 3, 1), None, dt.datetime(2026, 1, 2, 3, 4, 5), None]
 
 
+def test_short_months_and_reserved_letters(spark):
+    rows = spark.createDataFrame([("15 aug 2026", "%d %b %Y"), ("15 Mar 2026", "%d %b %Y"), ("1#2#2026", "%d#%m#%Y"), ("5 o'clock", "%d o'clock")], "t string, f string")
+    got = [r.r for r in rows.select(dates.parse_date_fmt(C("t"), C("f")).alias("r")).collect()]
+    assert got[:3] == [dt.datetime(2026, 8, 15), dt.datetime(2026, 3, 15), dt.datetime(2026, 2, 1)]
+
+
 def test_free_text(spark):
     found = values(
         spark,

@@ -70,6 +70,16 @@ def test_upsert_keeps_identity(spark):
     assert (row.id, row.titulo, row.creado_en, row.actualizado_en) == ("o", "N", dt.datetime(2026, 1, 1), dt.datetime(2026, 6, 2, 12))
 
 
+def test_upsert_carries_metadata(spark):
+    old = spark.createDataFrame([call("A", "o"), call("B", "p")], CALL)
+    new = spark.createDataFrame([call("A", titulo="N")], CALL)
+    tagged = lambda t, v: t.withColumn("metadatos", F.parse_json(F.lit(v)))
+    value = F.to_json("metadatos").alias("m")
+    read = lambda t: {r.identificador_externo: r.m for r in t.select("identificador_externo", value).collect()}
+    assert read(mutate.upsert_calls(tagged(old, '{"v":1}'), tagged(new, '{"v":2}'), NOW)) == {"A": '{"v":2}', "B": '{"v":1}'}
+    assert read(mutate.upsert_calls(tagged(old, '{"v":1}'), new, NOW)) == {"A": '{"v":1}', "B": '{"v":1}'}
+
+
 def test_versions_on_disk(spark, tmp_path):
     root = str(tmp_path / "t")
     sinks.publish_version(spark.range(3), root, 1)
