@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = ["fuente_id", "run_id"]
 
 
-def run_outcomes(attempts: DataFrame) -> DataFrame:
+def run_outcomes(attempts: DataFrame, totals: Sequence[Column] = ()) -> DataFrame:
     """Final status and decisive step per run.
 
     ``attempts``: ``fuente_id, run_id, step, fetched, items, explicit_empty``
     with ``items`` NULL where extraction failed. The chain starts at the first
     step that fetched; the first step with items wins, unless an explicitly
-    empty page stops the chain before it.
+    empty page stops the chain before it. ``totals`` are more aggregates of a
+    run's attempts, taken in the same pass.
     """
     got = F.col("fetched") & (F.coalesce("items", F.lit(0)) > 0)
     empty = F.col("fetched") & (F.col("items") == 0) & F.col("explicit_empty")
@@ -22,6 +25,7 @@ def run_outcomes(attempts: DataFrame) -> DataFrame:
         F.min(F.when(got, F.struct("step", "items"))).alias("ok"),
         F.min(F.when(empty, F.col("step"))).alias("empty_step"),
         F.bool_or("fetched").alias("any_fetch"),
+        *totals,
     )
     wins = F.col("ok.step").isNotNull() & (
         F.col("empty_step").isNull() | (F.col("ok.step") < F.col("empty_step"))
@@ -35,6 +39,7 @@ def run_outcomes(attempts: DataFrame) -> DataFrame:
         .when(~F.col("any_fetch"), "FETCH_FAILED")
         .otherwise("EXTRACTION_FAILED")
         .alias("final_status"),
+        *ends.columns[len(RUN) + 3 :],
     )
 
 
@@ -46,9 +51,9 @@ def first_success(items: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def step_metrics(attempts: DataFrame) -> DataFrame:
     """Per run: steps tried, failed fetches, total latency, items, final status."""
-    totals = attempts.groupBy(*RUN).agg(
+    totals = [
         F.count("*").alias("pasos"),
         F.count_if(~F.col("fetched")).alias("fallidos"),
         F.sum("latency").alias("execution_time_seconds"),
-    )
-    return totals.join(run_outcomes(attempts), RUN)
+    ]
+    return run_outcomes(attempts, totals)
