@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atalaya.functions.selectors import Compound, parse
 from atalaya.functions.text import strip
 
 NODE = T.StructType(
@@ -147,62 +148,44 @@ def nodes(pages: pa.Array) -> pa.Array:
 
 
 # --- selectors ----------------------------------------------------------------
-_COMPOUND = re.compile(
-    r"(?P<tag>^[a-zA-Z][\w-]*|^\*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|"
-    r"\[(?P<attr>[\w-]+)\s*(?:(?P<op>[*^$]?=)\s*['\"]?(?P<value>[^'\"\]]*)['\"]?)?\]"
-)
-
-
-def _matches(n: Column, compound: str) -> Column:
+def _matches(n: Column, compound: Compound) -> Column:
     """Does a node match one compound selector, such as ``a.btn[href^='/x']``."""
-    test = n.tag != TEXT
-    used = 0
-    for m in _COMPOUND.finditer(compound):
-        used += len(m.group(0))
-        if m["tag"] and m["tag"] != "*":
-            test = test & (n.tag == m["tag"].lower())
-        elif m["cls"]:
-            classes = F.concat(F.lit(" "), F.coalesce(n.attrs["class"], F.lit("")), F.lit(" "))
-            test = test & F.contains(F.translate(classes, "\t\n", "  "), F.lit(f" {m['cls']} "))
-        elif m["id"]:
-            test = test & (n.attrs["id"] == m["id"])
-        elif m["attr"]:
-            value = n.attrs[m["attr"]]
-            check = {
-                None: lambda: value.isNotNull(),
-                "=": lambda: value == m["value"],
-                "^=": lambda: value.startswith(m["value"]),
-                "$=": lambda: value.endswith(m["value"]),
-                "*=": lambda: value.contains(m["value"]),
-            }[m["op"]]
-            test = test & check()
-    if used != len(compound):
-        raise ValueError(f"selector not supported: {compound!r}")
+    test = n.tag == compound.tag if compound.tag else n.tag != TEXT
+    for name, op, wanted in compound.tests:
+        value = n.attrs[name]
+        if op == "~=":
+            classes = F.concat(F.lit(" "), F.coalesce(value, F.lit("")), F.lit(" "))
+            test = test & F.contains(F.translate(classes, "\t\n\r\f", "    "), F.lit(f" {wanted} "))
+        elif op == "^=":
+            test = test & value.startswith(wanted)
+        elif op == "$=":
+            test = test & value.endswith(wanted)
+        elif op == "*=":
+            test = test & value.contains(wanted)
+        else:
+            test = test & (value == wanted if op else value.isNotNull())
     return F.coalesce(test, F.lit(False))
 
 
 def select_nodes(nodes: Column, selector: str, below: Column | None = None) -> Column:
     """Nodes that match a selector, in document order.
 
-    Grammar: compounds of tag, class, id and attribute tests, descendant and
-    child steps, comma lists. ``nodes`` is a whole page or the slice of one
+    The grammar is that of ``selectors``. ``nodes`` is a whole page or the slice of one
     element; for a slice, ``below`` is the element itself, which can be an
     ancestor in the selector but is not a match.
     """
 
-    def hit(n: Column, steps: list[str]) -> Column:
+    def hit(n: Column, steps: tuple[Compound, ...]) -> Column:
         *before, last = steps
         test = _matches(n, last)
         if not before:
             return test
-        child = before[-1] == ">"
-        rest = before[:-1] if child else before
         above = lambda a: (
-            (a.ord == n.parent) if child else ((a.ord < n.ord) & (n.ord <= a.last))
+            (a.ord == n.parent) if last.child else ((a.ord < n.ord) & (n.ord <= a.last))
         )
-        return test & F.exists(nodes, lambda a: above(a) & hit(a, rest))
+        return test & F.exists(nodes, lambda a: above(a) & hit(a, tuple(before)))
 
-    choices = [re.sub(r"\s*>\s*", " > ", s.strip()).split() for s in selector.split(",")]
+    choices = parse(selector)
 
     def any_hit(n: Column) -> Column:
         test = hit(n, choices[0])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,6 @@ from atalaya.functions.text import (
     any_of,
     blank_to_null,
     compute_once,
-    first_group,
     last_segment,
     squeeze_blank,
     strict_json,
@@ -24,9 +22,7 @@ from atalaya.functions.text import (
 )
 from atalaya.functions.urls import resolve_url
 from atalaya.operators.dedupe import dedupe_first
-
-FIELDS = ["descripcion", "estado", "fecha_cierre", "monto", "region"]
-
+from atalaya.operators.extract_rules import compiled, rule_document, with_items
 
 @dataclass(frozen=True)
 class HtmlRule:
@@ -93,24 +89,20 @@ def _value(selector: str | None, found: dict[str, Column]) -> Column:
     return F.when(hit.isNotNull(), dom.text_in(below, node, hit))
 
 
-def _href(selector: str | None, found: dict[str, Column]) -> Column:
-    """Link of an item; a container that is a link itself is the default."""
-    node = F.col("node")
-    own = F.when(node.tag == "a", node.attrs["href"])
-    if not selector:
-        return blank_to_null(own)
-    if _is_own(selector):
-        return blank_to_null(node.attrs["href"])
-    hit = found[selector]
-    return blank_to_null(F.when(hit.isNotNull(), hit.attrs["href"]).otherwise(own))
-
-
-def _apply(pattern: str | None, text: Column) -> Column:
-    """The field's pattern over a text: group 1, else the match; no match, NULL."""
-    if not pattern:
-        return text
-    group = 1 if re.compile(pattern).groups else 0
-    return strip(first_group(text, pattern, group))
+def item_columns(base_url: str = "url_base") -> list[Column]:
+    """What an item read by a rule comes out as; a missing id is made of the title."""
+    href = F.col("enlace")
+    return [
+        F.col("pos"),
+        F.coalesce("identificador", surrogate_id(fixed.LISTING_ID, F.col("titulo"))).alias("identificador"),
+        F.col("titulo"),
+        F.col("descripcion"),
+        F.when(href.isNotNull(), resolve_url(href, F.col(base_url))).alias("url_detalle"),
+        normalize_status(F.col("estado")).alias("estado"),
+        F.col("fecha_cierre"),
+        F.col("monto"),
+        F.col("region"),
+    ]
 
 
 def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -> DataFrame:
@@ -119,59 +111,16 @@ def extract_html(pages: DataFrame, rule: HtmlRule, base_url: str = "url_base") -
     ``pages`` has ``html`` and the base URL; its other columns are kept. A
     date or amount that no selector found is looked up in the item's whole
     text when the source has a pattern for it. Patterns are applied here and
-    marked as applied, so that normalization does not apply them again.
+    marked as applied, so that normalization does not apply them again. A rule
+    with a selector or pattern that cannot be read raises here, before any job.
     """
+    document = rule_document(rule)
+    if isinstance(fault := compiled("html_static", document), str):
+        raise ValueError(f"{fault}: {rule}")
     kept = [c for c in pages.columns if c != "html"]
-    pattern = rule.patrones.get
-    selectors = [rule.identificador, rule.titulo, rule.link_detalle] + [getattr(rule, f) for f in FIELDS]
-    rows, found = with_found(boxes(pages, rule.contenedor_items), selectors)
-    needs_text = any(pattern(f) for f in ("fecha_cierre", "monto"))
-    same_id = rule.identificador == rule.titulo
-    raw = compute_once(
-        rows,
-        _ident=_value(None if same_id else rule.identificador, found),
-        _titulo=_value(rule.titulo, found),
-        _link=_href(rule.link_detalle, found),
-        _texto=dom.text_of(F.col("below")) if needs_text else F.lit(None).cast("string"),
-        **{f"_{f}": _value(getattr(rule, f), found) for f in FIELDS},
-    )
-
-    def text(name: str) -> Column:
-        return blank_to_null(F.col(f"_{name}"))
-
-    title = text("titulo")
-    if pattern("titulo"):
-        title = F.coalesce(_apply(pattern("titulo"), title), title)
-    read = compute_once(
-        raw,
-        _id=title if same_id else text("ident"),
-        titulo=title,
-        descripcion=text("descripcion"),
-        _href=F.col("_link"),
-        _fecha=_apply(pattern("fecha_cierre"), text("fecha_cierre")),
-        _monto_texto=_apply(pattern("monto"), text("monto")),
-        region=_apply(pattern("region"), text("region")),
-    )
-
-    def or_whole_text(name: str, given: str) -> Column:
-        p = pattern(name)
-        return F.coalesce(F.col(given), _apply(p, F.col("_texto"))) if p else F.col(given)
-
-    return read.select(
-        *kept,
-        "pos",
-        F.coalesce("_id", surrogate_id(fixed.LISTING_ID, F.col("titulo"))).alias("identificador"),
-        "titulo",
-        "descripcion",
-        F.when(F.col("_href").isNotNull(), resolve_url(F.col("_href"), F.col(base_url))).alias(
-            "url_detalle"
-        ),
-        normalize_status(F.col("_estado")).alias("estado"),
-        or_whole_text("fecha_cierre", "_fecha").alias("fecha_cierre"),
-        or_whole_text("monto", "_monto_texto").alias("monto"),
-        "region",
-        F.lit(True).alias("regex_aplicada"),
-    ).where("titulo IS NOT NULL")
+    read = with_items(pages, F.col("html"), F.lit("html_static"), F.lit(document))
+    items = read.select(*kept, F.inline("items"))
+    return items.select(*kept, *item_columns(base_url), F.lit(True).alias("regex_aplicada"))
 
 
 def unwrap_ajax(captures: DataFrame, body: str = "contenido_crudo") -> DataFrame:
@@ -191,12 +140,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     ).select(*kept, "pos", "href", blank_to_null(F.col("texto")).alias("texto")).where("href <> ''")
 
 
+def base_of(base_url: str | Column) -> Column:
+    return F.lit(base_url) if isinstance(base_url, str) else base_url
+
+
 def first_per_url(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per URL within a capture, by a bounded rank (skew-safe)."""
     return dedupe_first(items, [*keys, "url_detalle"], order)
 
 
-def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame:
+def extract_cards(pages: DataFrame, base_url: str | Column, keys: list[str]) -> DataFrame:
     """Program cards of a capture's pages, the first one per URL.
 
     The first card of a URL decides, even if its title then turns out too
@@ -212,7 +165,7 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     ).where(found["h2"].isNotNull() & F.col("href").contains("/programas/"))
     read = read.drop("node", "below", *[f"_found{i}" for i in range(3)])
     firsts = first_per_url(
-        read.withColumn("url_detalle", resolve_url(F.col("href"), F.lit(base_url))),
+        read.withColumn("url_detalle", resolve_url(F.col("href"), base_of(base_url))),
         keys,
         ["page_ord", "pos"],
     )
@@ -229,14 +182,14 @@ def extract_cards(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     )
 
 
-def extract_links(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame:
+def extract_links(pages: DataFrame, base_url: str | Column, keys: list[str]) -> DataFrame:
     """Alliance calls given as links; the first one per URL of a capture."""
     kept = [c for c in pages.columns if c != "html"]
     href, text = F.col("href"), F.col("texto")
     wanted = (
         href.contains(fixed.ALLIANCE_PATH)
         & (href != fixed.ALLIANCE_INDEX)
-        & (href != F.lit(base_url.rstrip("/") + fixed.ALLIANCE_INDEX))
+        & (href != F.concat(F.regexp_replace(base_of(base_url), "/+$", ""), F.lit(fixed.ALLIANCE_INDEX)))
         & ~href.contains("edit")
         & ~href.contains("readid")
         & ~F.contains(F.lower(href), F.lit("readspeaker"))
@@ -244,7 +197,7 @@ def extract_links(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame
     )
     rows = page_links(pages).where(wanted)
     firsts = first_per_url(
-        rows.withColumn("url_detalle", resolve_url(href, F.lit(base_url))), keys, ["page_ord", "pos"]
+        rows.withColumn("url_detalle", resolve_url(href, base_of(base_url))), keys, ["page_ord", "pos"]
     )
     segment = last_segment(href)
     return firsts.where((segment != "") & (segment != fixed.ALLIANCE_PAGE)).select(
@@ -305,7 +258,7 @@ def _with_context(nodes: Column, links: Column) -> Column:
     )
 
 
-def extract_news(pages: DataFrame, base_url: str) -> DataFrame:
+def extract_news(pages: DataFrame, base_url: str | Column) -> DataFrame:
     """News links with the date and text around them, the relevant ones only."""
     kept = [c for c in pages.columns if c != "html"]
     nodes = F.col("_nodes")
@@ -333,14 +286,14 @@ def extract_news(pages: DataFrame, base_url: str) -> DataFrame:
         ).alias("identificador"),
         "titulo",
         F.nullif("_body", F.lit("")).alias("descripcion"),
-        resolve_url(F.col("href"), F.lit(base_url)).alias("url_detalle"),
+        resolve_url(F.col("href"), base_of(base_url)).alias("url_detalle"),
         normalize_status(both).alias("estado"),
         blank_to_null(F.regexp_extract(both, "(?U)" + fixed.NEWS_DATE, 0)).alias("fecha_cierre"),
         "href",
     )
 
 
-def extract_featured(pages: DataFrame, base_url: str, keys: list[str]) -> DataFrame:
+def extract_featured(pages: DataFrame, base_url: str | Column, keys: list[str]) -> DataFrame:
     """Featured program links; the first one per href of a page."""
     kept = [c for c in pages.columns if c != "html"]
     href, text = F.col("href"), F.col("texto")
@@ -356,7 +309,7 @@ def extract_featured(pages: DataFrame, base_url: str, keys: list[str]) -> DataFr
         F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))).alias("identificador"),
         text.alias("titulo"),
         F.concat(F.lit(fixed.FEATURED_TEXT), text).alias("descripcion"),
-        resolve_url(href, F.lit(base_url)).alias("url_detalle"),
+        resolve_url(href, base_of(base_url)).alias("url_detalle"),
         F.lit(fixed.UNKNOWN_STATUS).alias("estado"),
         "href",
     )

@@ -14,7 +14,7 @@ from atalaya import fixed_values as fixed
 from atalaya.operators import extract_feed as feeds
 from atalaya.operators import extract_html as pages_html
 from atalaya.operators import extract_json as json_items
-from atalaya.operators import responses
+from atalaya.operators import registry, responses
 from atalaya.plans.registry import query
 from atalaya.plans.tables import cte, read, spread, view
 from atalaya.sources import captures, paging, profiles, rules
@@ -191,6 +191,10 @@ def extract_tokens(spark, d):
     return captures.extract_tokens(rows).drop("url", "html")
 
 
+def _spark_sql(text: str) -> str:
+    return text.replace("\\", "\\\\")
+
+
 # --- HTML ---------------------------------------------------------------------
 def _listing(spark, d, parts: str) -> DataFrame:
     """One page per order: three copies of a card, numbered by ``n``."""
@@ -241,6 +245,53 @@ def extract_fulltext(spark, d):
     return items.select("o_orderkey", "identificador", "url_detalle", "fecha_cierre", "monto")
 
 
+# --- rules of many sources -------------------------------------------------------
+K = "cast(c_custkey as string)"
+#: A rule document per customer: four strategies, selectors and patterns of its own; some documents are bad.
+SOURCE_RULE = f"""'nombre: "f' || {K} || '"' || chr(10) || 'url_busqueda: "https://f' || {K} || '.example.org/lista"' || chr(10)
+    || case c_custkey % 5 when 1 then 'estrategia: json_api' || chr(10) || 'json_mapping: {{root_path: "d' || {K} || '.0.lista", identificador: id, titulo: "t.' || cast(c_custkey % 3 as string) || '", monto: m}}' || chr(10)
+    when 4 then 'estrategia: desconocida' || chr(10) else
+    case c_custkey % 5 when 2 then 'estrategia: wp_ajax' || chr(10) else '' end
+    || 'selectores: {{contenedor_items: "div.k' || {K} || '", identificador: "attr:data-id", titulo: "h2.t' || cast(c_custkey % 7 as string) || case when c_custkey % 35 = 3 then '::before' else '' end
+    || '", descripcion: "section.s > div p[title=' || chr(39) || 'a, b' || chr(39) || ']", link_detalle: "a.ver", estado: "b"}}' || chr(10)
+    || 'normalizadores: {{monto: {{regex_extraction: "' || case when c_custkey % 35 = 5 then '(mal' when c_custkey % 2 = 0 then '(?P<v>[0-9]+) pesos' else 'vale [(]([0-9]+)' end || '"}}}}' || chr(10)
+    || 'excluir_patrones_titulo: ["' || case when c_custkey % 3 = 0 then '^CARTEL' else 'nada$' end || '"]' || chr(10)
+    || 'excluir_patrones_url: ["/' || case when c_custkey % 4 = 0 then 'FUERA' else 'nunca' end || '/"]' || chr(10) end"""
+RULED_PAGE = f"""'<section class="s"><div class="item k' || {K} || ' z" data-id="' || {KEY} || '-' || {N} || '"><h2 class="t' || cast(c_custkey % 7 as string) || '">' || case when n = 2 then 'Cartel ' else 'Pedido ' end || {KEY}
+    || '</h2><p title="a, b">' || o_orderpriority || '</p><p>vale (' || {KEY} || ') o ' || {KEY} || '1 pesos</p><b>abierto</b><a class="ver" href="/' || case when n = 3 then 'fuera' else 'd' end || '/' || {N} || '">x</a></div><div class="k' || {K} || '0">no</div></section>'"""
+RULED_JSON = f"""'{{"d' || {K} || '": [{{"lista": [{{"id": ' || {KEY} || ', "t": ["uno", "dos", "tres"], "m": ' || {KEY} || '.5}}, {{"id": "x", "t": {{"0": "a", "1": "b", "2": "c"}}}}]}}]}}' || case when o_orderkey % 8 = 0 then ' y' else '' end"""
+
+
+@query(
+    "extract_by_rules",
+    f"""with x as (select *, case when c_custkey % 5 = 4 then 'estrategia_desconocida' when c_custkey % 35 in (3, 5) then 'sin_regla'
+            when c_custkey % 5 = 1 and o_orderkey % 8 = 0 then 'json_invalido' end as reject_reason from orders join customer on c_custkey = o_custkey),
+        y as (select *, unnest(case when reject_reason is not null then [0] when c_custkey % 5 = 1 then [1, 2] else [1, 2, 3] end) as n from x)
+        select o_orderkey, reject_reason, cast(n - 1 as int) as pos, {KEY} || '-' || n as identificador, case when n = 2 then 'Cartel ' else 'Pedido ' end || {KEY} as titulo, o_orderpriority as descripcion,
+        'https://f' || c_custkey || '.example.org/' || case when n = 3 then 'fuera' else 'd' end || '/' || n as url_detalle, 'ABIERTO' as estado,
+        case when c_custkey % 2 = 0 then {KEY} || '1' else {KEY} end as monto from y where n > 0 and c_custkey % 5 <> 1
+        and not (n = 2 and c_custkey % 3 = 0) and not (n = 3 and c_custkey % 4 = 0)
+        union all select o_orderkey, null, cast(n - 1 as int), case n when 1 then {KEY} else 'x' end,
+        (case n when 1 then ['uno', 'dos', 'tres'] else ['a', 'b', 'c'] end)[1 + c_custkey % 3], null, null, 'DESCONOCIDO', case when n = 1 then {KEY} || '.5' end from y where n > 0 and c_custkey % 5 = 1
+        union all select o_orderkey, reject_reason, null, null, null, null, null, null, null from y where n = 0""",
+)
+def extract_by_rules(spark, d):
+    """Every order is a capture of its customer's source; rules come from YAML, bad ones set only their own source apart."""
+    sources = read(spark, d, "customer").selectExpr("c_custkey as id", f"'f' || {K} as nombre")
+    documents = read(spark, d, "customer").selectExpr(f"{K} as archivo", f"{_spark_sql(SOURCE_RULE)} as texto")
+    known = registry.source_rules(sources, rules.valid_rules(rules.load_rules(documents)))
+    page = f"array_join(transform(sequence(1, 3), n -> {RULED_PAGE}), chr(10))"
+    bodies = read(spark, d, "orders").join(read(spark, d, "customer"), C("c_custkey") == C("o_custkey")).selectExpr(
+        "o_orderkey", "o_custkey as fuente_id", f"'https://f' || {K} || '.example.org/lista' as url_base",
+        f"case c_custkey % 5 when 1 then {RULED_JSON} when 2 then to_json(named_struct('html', {page})) else {page} end as contenido_crudo",
+    )
+    read_once = registry.read_by_rules(bodies, known)
+    items = registry.items_by_rules(read_once)
+    columns = ["o_orderkey", "reject_reason", "pos", "identificador", "titulo", "descripcion", "url_detalle", "estado", "monto"]
+    apart = read_once.where("reject_reason IS NOT NULL").select("o_orderkey", "reject_reason")
+    return items.withColumn("reject_reason", F.lit(None).cast("string")).select(columns).unionByName(apart, allowMissingColumns=True)
+
+
 PROGRAM = f"""'<div style="color:red; background-color: #fff"><h2>' || case when n = 3 then 'Programa repetido ' else 'Programa abierto ' end || {KEY} || '</h2><p>' || o_orderpriority
     || '</p><a class="btn big" href="/es/programas/' || {KEY} || case when n = 2 then '-b' else '' end || '/">Ver</a></div><div style="background-color:x"><h2>Sin enlace</h2></div>'"""
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atalaya.functions.selectors import parse
 from atalaya.functions.text import FOLD
 
 ITEM = "struct<regex_extraction:string,formato_salida:string,idioma:string>"
@@ -56,7 +57,13 @@ def _good_pattern(pattern: str) -> bool:
 
 
 def _spark_patterns(doc: dict) -> str | None:
-    """Bring a document's patterns to Spark's form, or say what is wrong with one of them."""
+    """Bring a document's patterns to Spark's form, or say what is wrong with one of them or with a selector."""
+    for selector in (doc["selectores"] if isinstance(doc.get("selectores"), dict) else {}).values():
+        if isinstance(selector, str) and selector != "self" and not selector.startswith("attr:"):
+            try:
+                parse(selector)
+            except ValueError:
+                return "selector_invalido"
     items = doc.get("normalizadores")
     for item in items.values() if isinstance(items, dict) else ():
         if not isinstance(item, dict):

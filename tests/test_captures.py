@@ -253,7 +253,7 @@ def test_from_rule_documents_to_events(spark):
          ("2", "s2", '{"datos": [{"id": 1, "n": "Uno", "u": "https://b.cl/1", "f": "2026-08-15T00:00:00"}, {"id": 2, "n": "Dos", "u": "https://b.cl/2", "f": "2026-01-01"}]}', "https://b.cl/")],
         "fuente_id string, snapshot_id string, contenido_crudo string, url_base string",
     )
-    items = registry.extract_all(caps, registry.compiled_rules(sources, known)).drop("url_base")
+    items = registry.extract_all(caps, registry.source_rules(sources, known)).drop("url_base")
     lists = sources.select(C("id").alias("fuente_id"), F.array(F.lit("estado")).alias("campos_sensibles"), F.array().cast("array<string>").alias("ignorar_cambios_en"))
     stored = spark.createDataFrame(
         [("old", "2", "1", "Antes", "ABIERTO")], "id string, fuente_id string, identificador_externo string, titulo string, estado string"
@@ -282,3 +282,51 @@ def test_extractor_registry(spark):
     )
     items = registry.extract_all(caps, [("a", "json_api", jsons.JsonMapping("i", "t", "d")), ("b", None, html.HtmlRule("div.i", "h2", "h2")), ("c", "propio", "mio")])
     assert sorted((r.fuente_id, r.titulo) for r in items.collect()) == [("a", "T"), ("b", "H"), ("c", "mio")]
+
+
+def test_rules_of_one_pass(spark):
+    import pytest
+
+    page = ("<div class='fila x'><div class=caja id=u><p title='a, b'>uno<b>1</b></p><a href=' /v '>v</a></div></div>"
+            "<div class=caja><p title='a, b'>fuera</p></div><div class=caja>nada</div>")
+    doc = {"selectores": {"contenedor_items": "div.caja", "identificador": "attr:id", "titulo": ".fila p[title='a, b'], p[title^=zz]", "link_detalle": "a"}}
+    bad = {"selectores": {"contenedor_items": "div", "identificador": "a", "titulo": "p::before"}}
+    rule_rows = [("1", "html_static", json.dumps(doc)), ("2", "html_static", json.dumps(bad)), ("3", "otra", json.dumps(doc)),
+                 ("5", "json_api", json.dumps({"json_mapping": {"identificador": "i", "titulo": "q.0.1"}})),
+                 ("6", "html_static", json.dumps(doc | {"normalizadores": {"monto": {"regex_extraction": "(mal"}}}))]
+    known = spark.createDataFrame(rule_rows, "fuente_id string, estrategia string, regla string")
+    known = known.withColumns({c: F.array().cast("array<string>") for c in ("_titulos", "_partes_url")})
+    bodies = [("1", page), ("1", "<div class=caja>x</div>"), ("1", None), ("2", page), ("3", page), ("4", page),
+              ("5", '[{"i": 7, "q": [{"1": "z"}]}]'), ("5", '[{"i": 7}]'), ("5", "{} y"), ("5", "{}"), ("5", "NaN"), ("6", page)]
+    caps = spark.createDataFrame([(f, i, "https://a.cl/", b) for i, (f, b) in enumerate(bodies)], "fuente_id string, n int, url_base string, contenido_crudo string")
+    read = registry.read_by_rules(caps, known)
+    assert {(r.n, r.reject_reason) for r in read.collect()} == {
+        (0, None), (1, "sin_items"), (2, None), (3, "selector_invalido"), (4, "estrategia_desconocida"), (5, "sin_regla"),
+        (6, None), (7, "item_incompleto"), (8, "json_invalido"), (9, "raiz_no_es_lista"), (10, "json_invalido"), (11, "patron_invalido"),
+    }
+    items = registry.items_by_rules(read).orderBy("n").collect()
+    assert [(r.n, r.pos, r.identificador, r.titulo, r.url_detalle) for r in items] == [(0, 0, "u", "uno1", "https://a.cl/v"), (6, 0, "7", "z", None)]
+    plan = registry.extract_by_rules(caps, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2  # captures once, rules once
+    with pytest.raises(ValueError):
+        registry.extractor_for("otra")
+
+
+def test_selectors_of_rule_documents(spark):
+    text = "nombre: A\nurl_busqueda: https://a.cl/\nselectores: {contenedor_items: '%s', identificador: self, titulo: h2}\n"
+    docs = spark.createDataFrame([("a", text % "div:hover"), ("b", text % "tr td > p.x[data-k=\"a b\"], #z")], "archivo string, texto string")
+    assert {(r.archivo, r.reject_reason) for r in rules.load_rules(docs).collect()} == {("a", "selector_invalido"), ("b", None)}
+
+
+def test_strategies_of_whole_sites(spark):
+    known = spark.createDataFrame([("h", "subdere_homepage", "{}"), ("f", "fosis_multipage", "{}"), ("m", "llm", "{}"), ("n", "nueva", "{}")], "fuente_id string, estrategia string, regla string")
+    known = known.withColumns({c: F.array().cast("array<string>") for c in ("_titulos", "_partes_url")})
+    home = ('<div><a href="/sala-de-prensa/fondo-x">Nuevo fondo municipal abierto</a></div>'
+            '<a href="/programas/divisi/p-1">Programa uno</a>')
+    bundle = ('===PAGE:programas===\n<div style="background-color:red"><h2>Programa A</h2><a class=btn href="/programas/a/">v</a></div>\n===ENDPAGE===\n'
+              '===PAGE:convocatoria-alianzas===\n<a href="/es/convocatoria-alianzas/c1">Convocatoria abierta uno</a>\n===ENDPAGE===\n')
+    said = '```json\n{"items": [{"identificador": "q", "titulo": "Q"}]}\n```'
+    caps = spark.createDataFrame([(f, f, "https://a.cl/", b) for f, b in (("h", home), ("f", bundle), ("m", said), ("n", home))],
+                                 "fuente_id string, snapshot_id string, url_base string, contenido_crudo string")
+    got = sorted((r.fuente_id, r.identificador) for r in registry.extract_all(caps, known).collect())
+    assert got == [("f", "a"), ("f", "alianza-c1"), ("h", "fondo-x"), ("h", "p-1"), ("m", "q")]
