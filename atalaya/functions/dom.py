@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atalaya.functions.selectors import Compound, parse
-from atalaya.functions.text import strip
+from atalaya.functions.text import BLANKS, strip
 
 NODE = T.StructType(
     [
@@ -147,6 +147,21 @@ def nodes(pages: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
 
+def readable(html: str, noise_tags: frozenset[str], noise_classes: frozenset[str]) -> list[str]:
+    """Text pieces outside noise elements, in one walk: a noise element hides all up to its last node."""
+    page = _Nodes(html)
+    hidden, pieces = -1, []
+    for at, tag in enumerate(page.tag):
+        if tag == TEXT:
+            if at > hidden:
+                pieces.append((page.text[at] or "").strip(BLANKS))
+        elif page.last[at] > hidden:
+            named = next((v for k, v in page.attrs[at] if k == "class"), "")
+            if tag in noise_tags or not noise_classes.isdisjoint(re.split(r"[ \t\n\x0b\f\r]+", named)):
+                hidden = page.last[at]
+    return pieces
+
+
 # --- selectors ----------------------------------------------------------------
 def _matches(n: Column, compound: Compound) -> Column:
     """Does a node match one compound selector, such as ``a.btn[href^='/x']``."""

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 _PART = re.compile(
     r"""\s*(?P<step>[>,])\s*|(?P<blank>\s+)|(?P<tag>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
@@ -47,7 +46,6 @@ class Compound:
         return True
 
 
-@lru_cache(maxsize=4096)
 def parse(selector: str) -> tuple[tuple[Compound, ...], ...]:
     """The choices of a selector, each its steps from the outermost to the node itself."""
     text = selector.strip()

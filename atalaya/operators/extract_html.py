@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
 from atalaya.functions import dom
+from atalaya.functions.dom import readable
 from atalaya.functions.status import normalize_status
 from atalaya.functions.text import (
     any_of,
@@ -316,27 +318,20 @@ def extract_featured(pages: DataFrame, base_url: str | Column, keys: list[str])
 
 
 # --- whole pages ------------------------------------------------------------------
+NOISE_TAGS, NOISE_CLASSES = frozenset(fixed.NOISE_TAGS), frozenset(fixed.NOISE_CLASSES)
+
+
+def _clean_batch(pages: pa.Array) -> pa.Array:
+    return pa.array(["\n".join(readable(html or "", NOISE_TAGS, NOISE_CLASSES)) for html in pages.to_pylist()], pa.string())
+
+
+_clean = F.arrow_udf(_clean_batch, "string")
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Readable text of each page: navigation, scripts, ads and the like left out."""
-    nodes = F.col("_nodes")
-    noise = F.filter(
-        nodes,
-        lambda n: n.tag.isin(fixed.NOISE_TAGS)
-        | F.arrays_overlap(
-            F.split(F.coalesce(n.attrs["class"], F.lit("")), r"\s+"),
-            F.array(*[F.lit(c) for c in fixed.NOISE_CLASSES]),
-        ),
-    )
-    # Nested noise adds nothing: the pieces to drop are those in any noise span.
-    clean = F.filter(
-        nodes,
-        lambda n: (n.tag == dom.TEXT)
-        & ~F.exists(F.col("_noise"), lambda x: (x.ord < n.ord) & (n.ord <= x.last)),
-    )
-    text = F.array_join(F.transform(clean, lambda n: strip(n.text)), "\n")
-    return compute_once(with_nodes(pages), _noise=noise).select(
-        *[c for c in pages.columns if c != "html"], squeeze_blank(text).alias("texto")
-    )
+    kept = [c for c in pages.columns if c != "html"]
+    return pages.select(*kept, squeeze_blank(_clean(F.col("html"))).alias("texto"))
 
 
 def item_fragments(items: DataFrame) -> DataFrame:

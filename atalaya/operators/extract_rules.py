@@ -10,7 +10,6 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import asdict
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -210,7 +209,6 @@ class _JsonRule:
         return None, items
 
 
-@lru_cache(maxsize=4096)
 def compiled(strategy: str, document: str) -> _PageRule | _JsonRule | str:
     """A source's rule, or what is wrong with it."""
     doc = json.loads(document)
@@ -220,6 +218,19 @@ def compiled(strategy: str, document: str) -> _PageRule | _JsonRule | str:
         return str(fault)
 
 
+#: Rules that a worker has compiled; not more than a few megabytes.
+_RULES: dict[tuple[str, str], _PageRule | _JsonRule | str] = {}
+MOST_RULES = 4096
+
+
+def _rule(strategy: str, document: str) -> _PageRule | _JsonRule | str:
+    if (rule := _RULES.get((strategy, document))) is None:
+        if len(_RULES) >= MOST_RULES:
+            _RULES.clear()
+        rule = _RULES[strategy, document] = compiled(strategy, document)
+    return rule
+
+
 def _inner_page(body: str) -> str:
     """``html`` of a JSON wrapper, or the body itself where it is not one."""
     try:
@@ -234,7 +245,7 @@ def _read_one(body: str | None, strategy: str | None, document: str | None) -> t
         return "sin_regla", []
     if strategy != JSON and strategy not in PAGES:
         return "estrategia_desconocida", []
-    rule = compiled(strategy, document)
+    rule = _rule(strategy, document)
     if isinstance(rule, str):
         return rule, []
     body = body or ""

@@ -71,6 +71,15 @@ def page_calls(
     return ordered(calls, mode, as_of).offset(offset).limit(limit)
 
 
+def page_calls_after(calls: DataFrame, last: tuple[object, object], mode: str = "actualizacion", limit: int = 50, as_of=None) -> DataFrame:
+    """The page behind a row, given by its (ordering value, id): however deep, a task holds ``limit`` rows only."""
+    value, last_id = F.lit(last[0]), F.lit(last[1])
+    column = {"por_vencer": "fecha_cierre", "recientes_creacion": "creado_en"}.get(mode, "actualizado_en")
+    further = F.col(column) > value if mode == "por_vencer" else (F.col(column) < value) | F.col(column).isNull() & value.isNotNull()
+    same = F.col(column).eqNullSafe(value) & (F.col("id") > last_id)
+    return ordered(calls.where(further | same), mode, as_of).limit(limit)
+
+
 def page_count(calls: DataFrame, size: int = fixed.LIST_PAGE_SIZE) -> DataFrame:
     return calls.agg(F.ceil(F.count("*") / size).alias("paginas"))
 

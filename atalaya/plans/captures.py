@@ -368,12 +368,38 @@ def unwrap_ajax(spark, d):
     return items.select("o_orderkey", "titulo", C("descripcion").alias("estado_texto"))
 
 
-@query("clean_pages")
+#: The check reads these pages by patterns: noise elements and comments are cut, then tags part the pieces.
+NOISE_SQL = "|".join(rf"<{t}(?:\s[^>]*)?>.*?(?:</{t}>|$)" for t in fixed.NOISE_TAGS)
+ENTITY_SQL = "x"
+for _name, _char in (("copy", 169), ("middot", 183), ("nbsp", 160), ("hellip", 8230), ("mdash", 8212), ("quot", 34), ("lt", 60), ("gt", 62), ("#39", 39), ("amp", 38)):
+    ENTITY_SQL = f"replace({ENTITY_SQL}, '&{_name};', chr({_char}))"
+TAGS_SQL = r"""<[a-zA-Z/!](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+
+
+@query(
+    "clean_pages",
+    rf"""with cut as (select page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '<x>', 'gs'), '{NOISE_SQL}', '<x>', 'gsi') as h from pages),
+        pieces as (select page_id, url, list_transform(regexp_split_to_array(h, '{TAGS_SQL}'), lambda x: trim({ENTITY_SQL}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as p from cut)
+        select page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(p, lambda x: x <> ''), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g')) as texto from pieces""",
+)
 def clean_pages(spark, d):
-    """Text of the whole pages; no SQL reads HTML trees, so rows only."""
+    """Text of the whole pages."""
     return pages_html.clean_pages(spread(read(spark, d, "pages"))).select("page_id", "url", "texto")
 
 
+@query(
+    "page_links",
+    rf"""with cut as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<(?:script|style)(?:\s[^>]*)?>.*?(?:</(?:script|style)>|$)', '', 'gsi') as h from pages),
+        found as (select page_id, unnest(regexp_extract_all(h, '<a\s[^>]*href="[^"]*"[^>]*>.*?</a>', 0, 's')) as a, generate_subscripts(regexp_extract_all(h, '<a\s[^>]*href="[^"]*"[^>]*>.*?</a>', 0, 's'), 1) - 1 as pos from cut),
+        read as (select page_id, pos, regexp_extract(a, 'href="([^"]*)"', 1) as x, array_to_string(list_transform(regexp_split_to_array(a, '{TAGS_SQL}'), lambda y: trim(y, ' ' || chr(9) || chr(10) || chr(13))), '') as t from found),
+        named as (select page_id, pos, {ENTITY_SQL} as href, t as x from read)
+        select page_id, cast(pos as int) as pos, href, nullif({ENTITY_SQL}, '') as texto from named where href <> ''""",
+)
+def page_links(spark, d):
+    """Every link of the whole pages, with its text."""
+    return pages_html.page_links(spread(read(spark, d, "pages"))).select("page_id", "pos", "href", "texto")
+
+
 # --- JSON ---------------------------------------------------------------------
 JSON_ITEM = f"""'{{"codBp":' || case when n = 2 and o_orderstatus = 'P' then 'null' else '"' || {KEY} || '-' || {N} || '"' end || ',"nombre":{{"rendered":" Fondo ' || {KEY} || ' "}},"id":' || {KEY}
     || ',"status":"' || case n when 1 then 'publish' when 2 then 'Cerrada' else '' end || '","tags":["a","t' || {N} || '"],"fechaInicio":"2026-01-0' || {N} || 'T00:00:00"}}'"""
