@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atalaya import fixed_values as fixed
 from atalaya.functions import dom
@@ -325,7 +326,7 @@ def _clean_batch(pages: pa.Array) -> pa.Array:
     return pa.array(["\n".join(readable(html or "", NOISE_TAGS, NOISE_CLASSES)) for html in pages.to_pylist()], pa.string())
 
 
-_clean = F.arrow_udf(_clean_batch, "string")
+_clean = F.arrow_udf(_clean_batch, T.StringType())
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
