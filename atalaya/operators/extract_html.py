@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from atalaya import fixed_values as fixed
 from atalaya.functions import dom
 from atalaya.functions.dom import readable
+from atalaya.functions.selectors import parse
 from atalaya.functions.status import normalize_status
 from atalaya.functions.text import (
     any_of,
@@ -25,7 +26,7 @@ from atalaya.functions.text import (
 )
 from atalaya.functions.urls import resolve_url
 from atalaya.operators.dedupe import dedupe_first
-from atalaya.operators.extract_rules import compiled, rule_document, with_items
+from atalaya.operators.extract_rules import RulePage, compiled, rule_document, with_items
 
 @dataclass(frozen=True)
 class HtmlRule:
@@ -215,61 +216,43 @@ def extract_links(pages: DataFrame, base_url: str | Column, keys: list[str]) ->
 
 
 # --- news -----------------------------------------------------------------------
-def _keep_unseen(rows: Column) -> Column:
-    """Links whose href and title are both new, in page order.
+NEWS = T.ArrayType(
+    T.StructType([T.StructField("pos", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("href", "titulo", "contexto")])
+)
+ARROW_NEWS = pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("titulo", pa.string()), ("contexto", pa.string())]))
+NEWS_LINKS = parse("a[href*='sala-de-prensa']")
+#: The element this many levels above a news link holds its date and text.
+NEWS_LEVELS = 6
 
-    Whether a link counts depends on the ones kept before it, so this is a
-    fold over one page's link array (a single row).
-    """
-    empty = F.filter(rows, lambda r: F.lit(False))
 
-    def step(kept: Column, r: Column) -> Column:
-        seen = F.exists(kept, lambda k: (k.href == r.href) | (k.titulo == r.titulo))
-        return F.when(seen, kept).otherwise(F.concat(kept, F.array(r)))
+def _news_of(html: str) -> list[dict]:
+    """A page's news links whose href and title are both new, in page order, each with the text around it."""
+    page = RulePage(html)
+    hrefs, titles, found = set(), set(), []
+    for at in page.find(NEWS_LINKS, 0, len(page.tag) - 1):
+        href, title = page.named[at]["href"], page.text_of(at)
+        if len(title) < 15 or href in hrefs or title in titles or any(x in href for x in ("facebook", "twitter", "flickr")):
+            continue
+        hrefs.add(href)
+        titles.add(title)
+        above = at
+        for _ in range(NEWS_LEVELS):
+            above = page.parent[above] if above >= 0 else -1
+        found.append({"pos": at, "href": href, "titulo": title, "contexto": page.text_of(above, " ") if above >= 0 else None})
+    return found
 
-    return F.aggregate(rows, empty, step)
 
+def _news_batch(pages: pa.Array) -> pa.Array:
+    return pa.array([_news_of(html or "") for html in pages.to_pylist()], ARROW_NEWS)
 
-def _news_links(nodes: Column, up: int) -> Column:
-    """News links, each with the element ``up`` levels above it."""
 
-    def row(n: Column) -> Column:
-        return F.struct(
-            n.ord.alias("pos"),
-            n.attrs["href"].alias("href"),
-            dom.text_of(dom.slice_of(nodes, n)).alias("titulo"),
-            dom.ancestor(nodes, n, up).alias("_above"),
-        )
-
-    wanted = F.filter(
-        dom.select_nodes(nodes, "a[href*='sala-de-prensa']"),
-        lambda n: ~F.regexp_like(n.attrs["href"], F.lit("facebook|twitter|flickr")),
-    )
-    return F.filter(F.transform(wanted, row), lambda r: F.length(r.titulo) >= 15)
-
-
-def _with_context(nodes: Column, links: Column) -> Column:
-    """The kept links with the text of the element around each."""
-    return F.transform(
-        links,
-        lambda r: F.struct(
-            r.pos,
-            r.href,
-            r.titulo,
-            dom.text_of(dom.slice_of(nodes, r["_above"]), " ").alias("contexto"),
-        ),
-    )
+_news = F.arrow_udf(_news_batch, NEWS)
 
 
 def extract_news(pages: DataFrame, base_url: str | Column) -> DataFrame:
     """News links with the date and text around them, the relevant ones only."""
     kept = [c for c in pages.columns if c != "html"]
-    nodes = F.col("_nodes")
-    found = compute_once(with_nodes(pages), _links=_news_links(nodes, 6))
-    unseen = compute_once(found, _unseen=_keep_unseen(F.col("_links")))
-    rows = compute_once(unseen, _news=_with_context(nodes, F.col("_unseen"))).select(
-        *kept, F.inline("_news")
-    )
+    rows = compute_once(pages, _leido=_news(F.col("html"))).select(*kept, F.inline("_leido"))
     title, context = F.col("titulo"), F.coalesce("contexto", F.lit(""))
     dated = compute_once(
         rows, _date=strip(F.regexp_extract(context, "(?U)" + fixed.NEWS_DATE, 0))

@@ -58,7 +58,7 @@ def _finder(pattern: str | None) -> Callable[[str | None], str | None]:
     return find
 
 
-class _Page(_Nodes):
+class RulePage(_Nodes):
     """A page's nodes with selectors over them."""
 
     def __init__(self, html: str) -> None:
@@ -110,12 +110,12 @@ class _PageRule:
             raise BadRule("patron_invalido") from None
         self.whole_text = [f for f in ("fecha_cierre", "monto") if f in given]
 
-    def _node(self, page: _Page, box: int, selector: str) -> int | None:
+    def _node(self, page: RulePage, box: int, selector: str) -> int | None:
         if selector not in self.steps:
             return box
         return next(page.find(self.steps[selector], box + 1, page.last[box]), None)
 
-    def _value(self, page: _Page, box: int, name: str) -> str | None:
+    def _value(self, page: RulePage, box: int, name: str) -> str | None:
         selector = self.named.get(name)
         if not selector:
             return None
@@ -124,7 +124,7 @@ class _PageRule:
         at = self._node(page, box, selector)
         return None if at is None else _text(page.text_of(at))
 
-    def _link(self, page: _Page, box: int) -> str | None:
+    def _link(self, page: RulePage, box: int) -> str | None:
         selector, at = self.named.get("link_detalle"), None
         if selector:
             at = self._node(page, box, selector)
@@ -133,7 +133,7 @@ class _PageRule:
         return None if at is None else _text(page.named[at].get("href"))
 
     def read(self, body: str) -> tuple[str | None, list[Item]]:
-        page = _Page(body)
+        page = RulePage(body)
         items: list[Item] = []
         pos = -1
         for pos, box in enumerate(page.find(self.box, 0, len(page.tag) - 1)):

@@ -16,7 +16,7 @@ HEADLINE = (
     "normalize_status parse_dates_es normalize_calls filter_relevant filter_live dedupe_last "
     "detect_changes upsert_calls monitor_run exclude_patterns source_overview quality_report kpis "
     "briefing page_calls call_detail notification_fanout notification_result render_messages "
-    "consolidate_pages_short extract_json extract_feed extract_html extract_news clean_pages "
+    "consolidate_pages_short extract_json extract_feed extract_html extract_news extract_by_rules clean_pages page_links "
     "group_merge_regions responses_to_items pack_context find_dates step_metrics "
     "retention_purge cascade_delete content_changed stream_counts stream_changes"
 ).split()
