@@ -67,13 +67,18 @@ def monitor_run(
     as_of,
     order: list[str],
     months: int = fixed.LIVENESS_MONTHS,
+    stages_path: str | None = None,
 ) -> Run:
     """Items of a run to events and the next version of the calls.
 
-    Write ``stages`` to storage first and read it back when several outputs
-    are needed: extraction then runs once.
+    With ``stages_path``, a new folder that all executors share, the stages
+    are written there at once and read back, so that extraction and
+    normalization run once for all outputs.
     """
     stages = run_stages(items, rules, as_of, order, months)
+    if stages_path:
+        stages.write.parquet(stages_path)
+        stages = items.sparkSession.read.parquet(stages_path)
     kept = stages.where("motivo IS NULL").drop("motivo", "reject_reason")
     return Run(
         stages=stages,

@@ -235,7 +235,7 @@ def test_files_on_disk(spark, tmp_path):
     assert row.contenido_crudo == "<p>ñ</p>" and len(row.hash_contenido) == 64
 
 
-def test_from_rule_documents_to_events(spark):
+def test_from_rule_documents_to_events(spark, tmp_path):
     from atalaya.plans.monitor import audit_rows, monitor_run
 
     docs = spark.createDataFrame(
@@ -267,6 +267,10 @@ def test_from_rule_documents_to_events(spark):
     got = {(r.fuente_id, r.identificador_externo): (r.tipo, r.convocatoria_id == "old") for r in run.events.collect()}
     assert got == {("1", "x"): ("APERTURA", False), ("1", "z"): ("APERTURA", False), ("2", "1"): ("MODIFICACION", True)}
     assert {(r.identificador_externo, r.motivo) for r in run.rejected.collect()} == {("y", "relevancia"), ("2", "normalizacion")}
+    stored_run = monitor_run(items, rules.normalizer_rules(sources, known), lists, stored, "2026-06-02", ["pos"], stages_path=str(tmp_path / "stages"))
+    for name in ("events", "calls", "rejected"):
+        assert getattr(stored_run, name).exceptAll(getattr(run, name)).count() == 0 == getattr(run, name).exceptAll(getattr(stored_run, name)).count()
+    assert "Scan parquet" in stored_run.rejected._jdf.queryExecution().toString() and "Arrow" not in stored_run.events._jdf.queryExecution().toString()
     assert run.calls.count() == 3 and run.kept.where("identificador_externo = 'x'").first().region == "Maule"
     assert {r.mensaje for r in audit_rows(run.rejected, "r1", "2026-06-02").collect()} == {"relevancia", "expirada"}
 
