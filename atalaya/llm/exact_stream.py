@@ -48,10 +48,12 @@ def stream_classes(
     before = {k: spark.conf.get(k, None) for k in own}
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     files = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a table of one file can be streamed too
+    # In a struct a null id is the smallest one, so a class of null ids alone still has a locator.
     state = (
         _arrivals(files, digest)
         .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.max_by("file", "doc_id").alias("file"), F.count("*").alias("size"))
+        .agg(F.max(F.struct("doc_id", "file")).alias("last"), F.count("*").alias("size"))
+        .select("digest", F.col("last.doc_id").alias("keep_id"), F.col("last.file").alias("file"), "size")
     )
 
     def write(batch: DataFrame, number: int) -> None:
@@ -84,8 +86,8 @@ def exact_duplicates(
     Texts are equal when their bytes are, after lower-casing A-Z; null counts as empty, so null and empty texts are
     copies. The row with the largest doc_id stays. A row whose digest was seen with others is a hit: its bytes are
     compared with those at the retained locator (file and identifier). Rows that differ although their digests
-    are equal form classes by their whole text. Rows with a null id lose against any other; repeated rows of one
-    id and text count in group_size, and each of them is the kept row. An empty table gives no rows.
+    are equal form classes by their whole text. Rows with a null id lose against any other; where a class
+    has null ids alone its keep_id is null and each of its rows is a kept one. Repeated rows of one id and text count in group_size, and each of them is the kept row. An empty table gives no rows.
     """
     table = spark.read.parquet(path)
     work = work or shared_dir(spark, "exact")
