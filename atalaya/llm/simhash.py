@@ -147,16 +147,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their component, with the columns of docs.
-
-    Rows with a null id cannot be named and stay. Repeated rows of one id stay or go together.
-    """
-    found = near_duplicates(docs)
-    gone = checkpointed(found.where("id <> component").select(F.col("id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def op4(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     found = near_duplicates(docs)

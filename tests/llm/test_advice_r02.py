@@ -9,7 +9,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from atalaya.llm import exact_stream  # noqa: E402
+import corpus_pipeline  # noqa: E402
+
+from atalaya.llm import exact_stream, lines  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,35 @@ def test_exact_copies_of_null_ids(spark, tmp_path):
         got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=str)
         none = (None, None, 2, True)
         assert got == sorted([none, none, none, none, (None, 3, 2, False), (3, 3, 2, True), (None, None, 1, True)], key=str)
+
+
+def groups(sets, linked):
+    root = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if linked(sets[a], sets[b]):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    return root
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_documents_at_five_words(spark):
+    """Planted copies with edited words around a similarity of 0.8, against a brute-force version."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (3, 4, 5, 12, 60, 200, 700):
+        for _ in range(6):
+            base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03, 0.1):
+                texts.append(" ".join("Edited" if rng.random() < share else w.upper() for w in base))
+    texts += ["", " \n", "one", "One"]
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    root = groups(sets, alike)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, SF).collect()}
+    assert kept == set(root) and any(root[i] != i for i in range(len(root)))
