@@ -40,6 +40,12 @@ def alike(a, b):
     return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
+def test_short_lines_are_removed(spark):
+    texts = ["Les.\nAnd ornd.\nok", "Les.\n\nx\nWh the.", "And ornd.\nLes.\nok\nOk", "\n  \nx \nWh the."]
+    got = {r.doc_id: r.text for r in lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "Les.\nAnd ornd.\nok", 1: "\nx\nWh the.", 2: "Ok", 3: "\n  "}
+
+
 def test_near_documents_at_five_words(spark):
     """Planted copies with edited words around a similarity of 0.8, against a brute-force version."""
     rng = np.random.default_rng(5)
