@@ -46,6 +46,19 @@ def test_short_lines_are_removed(spark):
     assert got == {0: "Les.\nAnd ornd.\nok", 1: "\nx\nWh the.", 2: "Ok", 3: "\n  "}
 
 
+def test_lines_with_one_edit(spark):
+    """Lines of 60 characters or more with one substituted character in the middle, and a brute-force version at 0.8."""
+    texts = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    own = list(dict.fromkeys(x.strip() for r in texts for x in (r.text or "").split("\n") if len(x.strip()) >= 60))[:150]
+    edited = [x[: len(x) // 2] + "#" + x[len(x) // 2 + 1 :] for x in own]
+    found = own + edited
+    root = groups([{x[k : k + 5] for k in range(len(x) - 4)} for x in found], alike)
+    assert all(root[i] == root[i + len(own)] for i in range(len(own)))
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    kept = {r.doc_id for r in lines.deduplicated(docs).where("text <> ''").collect()}
+    assert kept == set(root)
+
+
 def test_near_documents_at_five_words(spark):
     """Planted copies with edited words around a similarity of 0.8, against a brute-force version."""
     rng = np.random.default_rng(5)
