@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,23 @@ def default_vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """The byte-level BPE of a rank file; the ids are those of the same vocabulary's JSON form."""
+    """The byte-level BPE of a rank file; the ids are those of the same vocabulary's JSON form, added tokens too.
+
+    The JSON form lies beside the rank file; a rank file without one has no added tokens.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {}
+    if os.path.exists(whole := os.path.splitext(vocabulary)[0] + ".json"):
+        with open(whole, encoding="utf-8") as file:
+            for token in json.load(file)["added_tokens"]:
+                if any(token[k] for k in ("single_word", "lstrip", "rstrip")):
+                    raise ValueError(f"added token {token['content']!r} matches by more than its literal")
+                added[token["content"]] = token["id"]
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -51,7 +63,7 @@ def pieces(
     numbers = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = partial(encoder(vocabulary).encode, allowed_special="all")  # a literal added token is one id
         for table in rows_of(batches):
             out, kept = [[], [], [], [], []], []
             for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("data").to_pylist(), strict=True):

@@ -76,3 +76,15 @@ def test_near_documents_at_five_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, SF).collect()}
     assert kept == set(root) and any(root[i] != i for i in range(len(root)))
+
+
+def test_packing_of_a_literal_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from atalaya.llm import packing
+
+    text = "how <|endoftext|> it ends<|endoftext|><|endoftext|>\n <|endoftext"
+    ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 1]
+    rows = packing.packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True).collect()
+    assert 50256 in ids and [x for r in sorted(rows, key=lambda r: r.start) for x in r.ids] == ids
