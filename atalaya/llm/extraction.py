@@ -15,6 +15,8 @@ from atalaya.llm.common import rows_of, whole_text
 
 #: Lines that one window sums over.
 WINDOW = 3
+#: Letters and digits that a window must hold for a surge, or the most that any window of the page holds if that is less.
+SURGE = 20
 # Element names and the words in class, id and role that mark what is not the article.
 RAW = frozenset("script style noscript template textarea title iframe svg math object select xmp".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button label fieldset".split())
@@ -38,6 +40,7 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z]+")
+NO_LETTERS = re.compile(r"[\W_]+")
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -57,25 +60,25 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """Lines of a page with markup stripped: (text, is boilerplate, is in an article, characters in links)."""
+    """Lines of a page with markup stripped: (text, is boilerplate, is in an article, letters and digits outside links)."""
     lines: list[tuple[str, bool, bool, int]] = []
     parts: list[str] = []
-    linked = at = articles = link = 0
+    loose = at = articles = link = 0
     dropped, depth = "", 0
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal loose
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, bool(dropped), articles > 0, min(linked, len(text))))
+            lines.append((text, bool(dropped), articles > 0, loose))
         parts.clear()
-        linked = 0
+        loose = 0
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal loose
         if text:
             parts.append(text)
-            linked += len(text) if link else 0
+            loose += 0 if link else len(NO_LETTERS.sub("", text))
 
     while True:
         found = MARKUP.search(page, at)
@@ -118,25 +121,24 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
 def main_text(page: str, window: int = WINDOW) -> tuple[str, int, int]:
     """Main text, first and last kept line (-1 where nothing is kept).
 
-    Every line weighs its text outside links; boilerplate lines weigh nothing, nor does what lies outside the page's
-    article elements where it has any. A surge is where the sum of the next lines rises from zero, a dive where it
-    falls back to zero. Inside articles all stretches between a surge and its dive are kept, elsewhere the
-    heaviest one.
+    Every line weighs its letters and digits outside links; boilerplate lines weigh nothing. Where a page has article
+    elements, their lines weigh as a surge at least, links and all, and what lies outside them weighs nothing: there
+    the elements decide. A surge is where the sum over a window reaches SURGE, a dive where it falls back to
+    zero; a stretch also holds the lines before its surge back to the last zero. All stretches with a surge are kept.
     """
     lines = page_lines(page)
     if not lines:
         return "", -1, -1
     marked = any(inside and not dropped for _, dropped, inside, _ in lines)
     usable = np.array([not dropped and (inside or not marked) for _, dropped, inside, _ in lines])
-    weight = np.array([len(t) if inside else max(0, len(t) - 2 * linked) for t, _, inside, linked in lines]) * usable
-    sums = np.convolve(weight, np.ones(window, np.int64))
+    weight = np.array([len(t) + SURGE if inside else loose for t, _, inside, loose in lines]) * usable
+    sums = np.convolve(weight, np.ones(window, np.int64)).astype(np.int64)
     up = np.flatnonzero((sums > 0) & (np.concatenate([[0], sums[:-1]]) == 0))
     down = np.flatnonzero((sums > 0) & (np.concatenate([sums[1:], [0]]) == 0)) - window + 1
-    stretches = list(zip(up.tolist(), down.tolist(), strict=True))
-    if not marked and stretches:
-        stretches = [max(stretches, key=lambda s: (weight[s[0] : s[1] + 1].sum(), -s[0]))]
-    if not stretches:
+    if not len(up):
         return "", -1, -1
+    surge = np.maximum.reduceat(sums, up) >= min(SURGE, sums.max())
+    stretches = list(zip(up[surge].tolist(), down[surge].tolist(), strict=True))
     kept = [lines[i][0] for a, b in stretches for i in range(a, b + 1) if usable[i]]
     return "\n\n".join(kept), stretches[0][0], stretches[-1][1]
 

@@ -88,3 +88,22 @@ def test_packing_of_a_literal_added_token(spark):
     ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 1]
     rows = packing.packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True).collect()
     assert 50256 in ids and [x for r in sorted(rows, key=lambda r: r.start) for x in r.ids] == ids
+
+
+def test_extraction_without_article_elements():
+    from atalaya.llm import extraction
+
+    first = [f"Sentence number {i} of the first part." for i in range(3)]
+    second = ["Opening words of the lighter part.", "By <a href=1>An author with a long name</a>"]
+    noise = "".join(f"<div class='ad'>Buy item {i} of this shop</div>" for i in range(4))
+    nav = "<div><a href=1>Home</a> | <a href=2>About us</a></div>"
+    page = f"<body>{nav}<p>{'</p><p>'.join(first)}</p>{noise}<p>{'</p><p>'.join(second)}</p>{nav}</body>"
+    assert extraction.main_text(page)[0] == "\n\n".join([*first, second[0], "By An author with a long name"])
+
+
+def test_extraction_is_the_same_without_article_tags(spark):
+    from atalaya.llm import extraction
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert extraction.main_text(plain)[0] == extraction.main_text(r.html)[0]
