@@ -12,10 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.llm.common import id_bounds, mixed, rows_of, shuffle_partitions, utf8, whole_text
+from atalaya.llm.common import id_bounds, mixed, shuffle_partitions, whole_text
+from atalaya.llm.suffixes import _table, is_among
 
-#: Terms are counted in so many hashed slots, a size that the corpus does not change.
-SLOTS = 1 << 20
 #: The band: terms in at least so many documents, and in at most this share of them.
 LEAST_DOCUMENTS, MOST_SHARE = 2, 0.1
 #: The lexicon as a whole, then five random subsets each of a half, a quarter, ... of it.
@@ -39,8 +38,8 @@ def term_hashes(data: bytes) -> np.ndarray:
 
 
 def fingerprint(hashes: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """One number per lexicon subset, zero where no term is left. A text without terms in the band keeps all terms."""
-    kept = hashes[band[(hashes % np.uint64(SLOTS)).astype(np.int64)]]
+    """band: the sorted hashes of the terms in the band, at least of those that occur here. One number per lexicon subset, zero where no term is left. A text without terms in the band keeps all terms."""
+    kept = hashes[is_among(hashes, band)]
     if not len(kept):
         kept = hashes
     out = np.zeros(SUBSETS, np.uint32)
@@ -63,31 +62,6 @@ def written(x: np.ndarray) -> str:
     return x.astype(">u4").tobytes().hex()
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(slot, n): the documents that hold a term of the slot, over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for table in rows_of(batches):
-            for data in table.column("data").to_pylist():
-                counts[np.unique((term_hashes(data) % np.uint64(SLOTS)).astype(np.int64))] += 1
-        slots = np.flatnonzero(counts)
-        for at in range(0, len(slots), 100_000):
-            part = slots[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["slot", "n"])
-
-    return docs.select(utf8().alias("data")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def term_band(docs: DataFrame) -> np.ndarray:
-    """The slots of the band as flags: SLOTS bits, whatever the corpus; fetched as at most SLOTS numbers."""
-    total = docs.count()
-    slots = document_frequencies(docs).where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") <= MOST_SHARE * total))
-    band = np.zeros(SLOTS, bool)
-    band[slots.select("slot").toArrow().column("slot").to_numpy()] = True
-    return band
-
-
 def compared_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to each other and to the next text's.
 
@@ -95,6 +69,9 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     by their text, null texts count as empty. A table of one row is its own next; an empty table gives no rows. Ids
     are dealt evenly over ranges whose bounds are ids of the table, and a range also gets the first row of
     the next one, so that no row needs another task.
+
+    Terms are counted exactly: a range tells each of its terms once, with the number of its documents, to the task
+    of the term's lot, and gets back which of them are in the band. Terms that an edit alone has are asked for too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -103,7 +80,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     cuts = [c for c in id_bounds(rows, "place", shuffle_partitions(spark)) if c != first]
     bounds = np.array(cuts, np.int64)
     starts = {c: i for i, c in enumerate(cuts)} | {first: len(cuts)}
-    band = spark.sparkContext.broadcast(np.packbits(term_band(docs)))
+    most, parts = MOST_SHARE * rows.count(), shuffle_partitions(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,20 +93,49 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
             for out in both.append_column("lot", pa.array(lots)).append_column("tail", pa.array(is_tail)).to_batches():
                 yield out
 
-    def compare(table: pa.Table) -> pa.Table:
-        flags = np.unpackbits(band.value).astype(bool)
-        got = sorted(
-            zip(*(table.column(c).to_pylist() for c in ("tail", "place", "text", "doc_id")), strict=True), key=lambda r: r[:3]
-        )
+    def texts_of(table: pa.Table) -> tuple[list, list[bytes], list[bytes]]:
+        """The range's own rows in order, their texts and the next range's first one, and the edited texts."""
+        columns = (table.column(c).to_pylist() for c in ("tail", "place", "text", "doc_id"))
+        got = sorted(zip(*columns, strict=True), key=lambda r: r[:3])
         own = [r for r in got if not r[0]]
         texts = [r[2] for r in own] + [r[2] for r in got[len(own) : len(own) + 1]]
+        halves = [len(r[2]) // 2 for r in own]
+        edited = [t[: len(t) - h] + following[:h] for t, following, h in zip(texts, texts[1:], halves, strict=False)]
+        return own, *([t.encode("utf-8", "surrogatepass") for t in x] for x in (texts, edited))
+
+    def count_terms(table: pa.Table) -> pa.Table:
+        own, texts, edited = texts_of(table)
+        none = [np.zeros(0, np.uint64)]
+        held, n = np.unique(np.concatenate([*none, *map(term_hashes, texts[: len(own)])]), return_counts=True)
+        asked = np.setdiff1d(np.concatenate([*none, *map(term_hashes, [*texts[len(own) :], *edited])]), held)
+        terms, n = np.concatenate([held, asked]), np.concatenate([n, np.zeros(len(asked), n.dtype)])
+        part = (mixed(terms) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        terms, n, part = terms[order], n[order], part[order]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        split = [x for x in zip(*(np.split(x, cuts) for x in (part, terms, n)), strict=True) if len(x[0])]
+        kinds = (("part", pa.int32()), ("lot", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary()))
+        lot = table.column("lot")[0].as_py()
+        return _table([(int(p[0]), lot, t.tobytes(), c.astype("<u4").tobytes()) for p, t, c in split], *kinds)
+
+    def in_band(table: pa.Table) -> pa.Table:
+        told = [np.frombuffer(x, np.uint64) for x in table.column("terms").to_pylist()]
+        values, which = np.unique(np.concatenate(told), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
+        n = np.bincount(which, counts, len(values))
+        chosen = values[(n >= LEAST_DOCUMENTS) & (n <= most)]
+        out = [(lot, t[is_among(t, chosen)].tobytes()) for lot, t in zip(table.column("lot").to_pylist(), told, strict=True)]
+        return _table(out, ("lot", pa.int32()), ("band", pa.binary()))
+
+    def compare(table: pa.Table, told: pa.Table) -> pa.Table:
+        flags = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told.column("band").to_pylist())]))
+        own, texts, edited = texts_of(table)
         prints, edits, out = [], [], []
         for t in texts:
-            prints.append(fingerprint(term_hashes(t.encode("utf-8", "surrogatepass")), flags))
+            prints.append(fingerprint(term_hashes(t), flags))
         for i, row in enumerate(own):
-            half = len(row[2]) // 2
-            data = (row[2][: len(row[2]) - half] + texts[i + 1][:half]).encode("utf-8", "surrogatepass")
-            edits.append(fingerprint(term_hashes(data), flags) if data.decode("utf-8", "surrogatepass") != row[2] else prints[i])
+            data = edited[i]
+            edits.append(fingerprint(term_hashes(data), flags) if data != texts[i] else prints[i])
             out.append(
                 (
                     row[3],
@@ -146,7 +152,9 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(NAMES))
 
     dealt = rows.mapInArrow(deal, "doc_id long, text string, place long, lot int, tail boolean")
-    return dealt.groupBy("lot").applyInArrow(
+    counted = dealt.groupBy("lot").applyInArrow(count_terms, "part int, lot int, terms binary, counts binary")
+    band = counted.groupBy("part").applyInArrow(in_band, "lot int, band binary")
+    return dealt.groupBy("lot").cogroup(band.groupBy("lot")).applyInArrow(
         compare,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",

@@ -107,3 +107,27 @@ def test_extraction_is_the_same_without_article_tags(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
         assert extraction.main_text(plain)[0] == extraction.main_text(r.html)[0]
+
+
+def test_imatch_counts_terms_exactly(spark):
+    """Two terms that meet in one of 2^20 slots, each in one document: neither is in the band."""
+    from collections import Counter
+
+    from atalaya.llm import imatch
+
+    hashes, pair = {}, None
+    for i in range(20_000):
+        slot = int(imatch.term_hashes(f"t{i}".encode())[0]) % (1 << 20)
+        if slot in hashes:
+            pair = (hashes[slot], f"t{i}")
+            break
+        hashes[slot] = f"t{i}"
+    texts = [f"{pair[0]} both other", f"{pair[1]} both"] + [f"filler{i} other" * (i == 1) for i in range(28)]
+    counts = Counter(int(h) for t in texts for h in imatch.term_hashes(t.encode()))
+    band = np.sort(np.array([h for h, n in counts.items() if 2 <= n <= 0.1 * len(texts)], np.uint64))
+    got = {r.doc_id: r for r in imatch.compared_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        edited = t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2]
+        assert got[i].fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(t.encode()), band))
+        assert got[i].edited_fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(edited.encode()), band))
+    assert got[1].fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(b"both"), band))
