@@ -24,7 +24,10 @@ GRAM = 24
 RUN = 32
 #: Text that is hashed at a time, and text whose suffixes are sorted at a time.
 HASHED, SORTED = 2_000_000, 4_000_000
-#: A key in more parts than this is dealt by the content of each string, not by the key.
+#: A key with more runs than this, over all parts, is dealt by the content of each string, not by the key. A run has
+#: at most RUN + LENGTH - 1 bytes, so a key that is not hot has under 1.7 MB, whatever the number of parts.
+HOT_RUNS = 20_000
+#: The same as a bound on parts: a key in more of them than this is hot too.
 HOT_PARTS = 2000
 LOW_48 = np.uint64((1 << 48) - 1)
 FIRST = -(1 << 63)
@@ -68,6 +71,31 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mixed(key[first]) & LOW_48, first, held
 
 
+def run_marks(data: np.ndarray, first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """A hash of each run's bytes."""
+    word, end = words_of_8(data), first + held + LENGTH - 1 - 8
+    mark = held.astype(np.uint64)
+    for depth in range(0, RUN + LENGTH, 8):
+        mark = mixed(mark * np.uint64(31) + word[np.minimum(first + depth, end)])
+    return mark
+
+
+def counted_runs(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with more than one distinct run, and how many they have."""
+    order = np.lexsort((mark, key))
+    key, mark = key[order], mark[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+    values, n = np.unique(key[new], return_counts=True)
+    return values[n > 1], n[n > 1]
+
+
+def keys_over(counts: list[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+    """Keys whose numbers sum to more than most."""
+    values, which = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return values[np.bincount(which, np.concatenate([n for _, n in counts]), len(values)) > most]
+
+
 def documents_in_order(table: pa.Table) -> tuple[list, list[bytes]]:
     """The documents of a part by id (null first) and text: the same order whenever the part is read."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("data").to_pylist()
@@ -276,14 +304,17 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.length("data")), F.lit(buckets)).cast("int"))
-    hot_parts = HOT_PARTS
+    hot_parts, hot_runs = HOT_PARTS, HOT_RUNS
 
     def count_keys(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         _, texts = documents_in_order(table)
         once, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        own_keys, own_marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for _, data, ends in stretches(texts):
-            key, first, _ = runs(np.frombuffer(data, np.uint8), ends)
+            key, first, held = runs(np.frombuffer(data, np.uint8), ends)
+            own_keys.append(key)
+            own_marks.append(run_marks(np.frombuffer(data, np.uint8), first, held))
             doc = np.searchsorted(ends, first, side="right") - 1
             order = np.lexsort((doc, key))
             key, doc = key[order], doc[order]
@@ -294,22 +325,30 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
             often.append(values[n > 1])
         values, n = np.unique(np.concatenate(once), return_counts=True)
         many = (n > 1) | is_among(values, np.unique(np.concatenate(often)))
+        several, n_runs = counted_runs(np.concatenate(own_keys), np.concatenate(own_marks))
+        number = np.ones(len(values), "<u4")
+        number[np.searchsorted(values, several)] = n_runs
         lot = (values % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(lot, kind="stable")
-        values, many, lot = values[order], many[order], lot[order]
+        values, many, lot, number = values[order], many[order], lot[order], number[order]
         cuts = np.flatnonzero(np.diff(lot)) + 1
         out = [
-            (int(where[0]), part, packed48(v[~m]), packed48(v[m]))
-            for where, v, m in zip(np.split(lot, cuts), np.split(values, cuts), np.split(many, cuts), strict=True)
+            (int(where[0]), part, packed48(v[~m]), packed48(v[m]), packed48(v[c > 1]), c[c > 1].tobytes())
+            for where, v, m, c in zip(*(np.split(x, cuts) for x in (lot, values, many, number)), strict=True)
             if len(v)
         ]
-        return _table(out, ("lot", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("often", pa.binary()))
+        return _table(out, ("lot", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("once", "often", "several", "n_runs")))
 
     def find_shared(table: pa.Table) -> pa.Table:
         got = [(p, unpacked48(a), unpacked48(b)) for p, a, b in zip(*(table.column(c).to_pylist() for c in ("part", "once", "often")), strict=True)]
         values, n = np.unique(np.concatenate([x for _, a, b in got for x in (a, b)]), return_counts=True)
         shared = values[(n > 1) | is_among(values, np.unique(np.concatenate([b for _, _, b in got])))]
-        hot = values[n > hot_parts]
+        # A key without a number has one run in its part; the others are counted by what they have beyond one.
+        more = [
+            (unpacked48(k), np.frombuffer(c, "<u4").astype(np.int64) - 1)
+            for k, c in zip(table.column("several").to_pylist(), table.column("n_runs").to_pylist(), strict=True)
+        ]
+        hot = np.union1d(values[n > hot_parts], keys_over([(values, n), *more], hot_runs))
         out = []
         for part, a, b in got:
             own = np.concatenate([a, b])
@@ -409,7 +448,7 @@ def repeated_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     if with_text:
         result.append(("kept", pa.binary()))
         kinds += ", kept binary"
-    counted = rows.groupBy("part").applyInArrow(count_keys, "lot int, part int, once binary, often binary")
+    counted = rows.groupBy("part").applyInArrow(count_keys, "lot int, part int, once binary, often binary, several binary, n_runs binary")
     shared = counted.groupBy("lot").applyInArrow(find_shared, "part int, shared binary, hot binary")
     sent = rows.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
         send_runs, "lot int, part int, keys binary, sizes binary, owners binary, contents binary, hot binary"

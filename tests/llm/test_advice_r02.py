@@ -131,3 +131,26 @@ def test_imatch_counts_terms_exactly(spark):
         assert got[i].fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(t.encode()), band))
         assert got[i].edited_fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(edited.encode()), band))
     assert got[1].fingerprint == imatch.written(imatch.fingerprint(imatch.term_hashes(b"both"), band))
+
+
+def test_suffix_hot_keys_by_runs(spark, monkeypatch):
+    """A gram with many surroundings in two parts is hot by its distinct runs; copies of one run are not."""
+    from atalaya.llm import suffixes
+
+    gram = b"a common phrase of twenty four bytes or more than that"
+    rng = np.random.default_rng(2)
+    texts = [b"".join((rng.bytes(40).hex().encode(), gram, rng.bytes(40).hex().encode())) for _ in range(40)]
+    got = []
+    for own in (texts[:20], texts[20:], texts[:1] * 500):
+        ends = np.cumsum([0, *map(len, own)])
+        data = np.frombuffer(b"".join(own), np.uint8)
+        key, first, held = suffixes.runs(data, ends)
+        got.append(suffixes.counted_runs(key, suffixes.run_marks(data, first, held)))
+    values, n = got[0]
+    top = values[n.argmax()]
+    assert n.max() > 3 and max(got[2][1], default=0) < n.max()
+    assert top in suffixes.keys_over(got[:2], int(n.max())) and top not in suffixes.keys_over(got[:1], int(n.max()))
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    plain = sorted(map(tuple, suffixes.repeated_passages(docs).collect()))
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 3)
+    assert sorted(map(tuple, suffixes.repeated_passages(docs).collect())) == plain and any(r[2] for r in plain)
