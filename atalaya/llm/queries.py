@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atalaya.llm import exact_stream, extraction, imatch, lines, mixing, packing, pii, quality, simhash, suffixes
+from atalaya.llm import bestfit, exact_stream, extraction, imatch, lines, merkle, mixing, packing, pii, quality, simhash, suffixes, trie
 from atalaya.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ QUERIES: dict[str, Query] = {
     "op8_extraction": lambda spark, d: extraction.extracted(spark.read.parquet(f"{d}/pages.parquet")),
     "op9_quality": lambda spark, d: quality.op9(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op10_pii": lambda spark, d: pii.op10(documents(spark, d)),
+    "op11_merkle": lambda spark, d: merkle.manifest(documents(spark, d)),
+    "op12_trie": lambda spark, d: trie.prefix_trie(spark.read.parquet(f"{d}/conversations.parquet")),
+    "op13_bestfit": lambda spark, d: bestfit.packed(documents(spark, d)),
 }
 
-CHECKS: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_exact_dedup": exact_stream.OP3_SQL}
+CHECKS: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op3_exact_dedup": exact_stream.OP3_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_trie": trie.OP12_SQL,
+}
