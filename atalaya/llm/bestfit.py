@@ -19,8 +19,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a partition in the first round, and how many partitions exchange with each other in a later one.
 PIECES, FAN = 5000, 16
-#: Pieces that a partition offers for exchange, at least whole sequences: its emptiest ones first.
-OFFERED = 1000
+#: Pieces that a partition offers for exchange: whole bins, the emptiest first, full ones too (their short pieces fill gaps).
+OFFERED = 4000
 #: Of the rounding functions floor((k + 1) x) / k those with k up to this.
 ROUNDINGS = 24
 
@@ -144,7 +144,6 @@ def repacked(uid: np.ndarray, length: np.ndarray, before: np.ndarray | None, cap
         emptiest = np.argsort(fill, kind="stable")
         held = np.bincount(number, minlength=n_bins)[emptiest]
         open_bin[emptiest[np.cumsum(held) - held < OFFERED]] = True
-        open_bin &= fill < capacity
     by_bin = np.argsort(number, kind="stable")
     sums = np.cumsum(length[by_bin]) - length[by_bin]
     starts = np.cumsum(fill) - fill

@@ -43,7 +43,10 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:
-    """Conversations that begin with turns of their family's first one: conv, part, rank, digest, words."""
+    """Conversations that begin with turns of their family's first one: conv, part, rank, digest, words.
+
+    The first one's id is conv - conv % FAMILY; as in SQL, the remainder of a negative id is negative.
+    """
     heads = lambda c: F.crc32(F.col(c).cast("string")) % HEADS
     own = turns.where(F.col("rank") > heads("conv")).select("conv", F.lit(1).alias("part"), "rank", "digest", "words")
     convs = turns.where("rank = 1").select("conv", (F.col("conv") - F.col("conv") % FAMILY).alias("first"), heads("conv").alias("taken"))

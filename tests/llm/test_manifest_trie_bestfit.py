@@ -118,7 +118,8 @@ def trie_want(rows):
     ends = defaultdict(list)
     for c, own in turns.items():
         h = zlib.crc32(str(c).encode()) % 4
-        whole = [*turns.get(c - c % 20, [])[:h], *own[h:]]
+        first = c - (c % 20 if c >= 0 else -(-c % 20))  # SQL's remainder
+        whole = [*turns.get(first, [])[:h], *own[h:]]
         for d in range(len(whole) + 1):
             members[tuple(whole[:d])].append(c)
         ends[tuple(whole)].append(c)
@@ -275,7 +276,7 @@ def test_dual_feasible_functions():
 @pytest.mark.parametrize("kind", ["mixed", "large", "equal"])
 def test_exchange_between_partitions(spark, monkeypatch, kind):
     monkeypatch.setattr(bestfit, "PIECES", 60)
-    monkeypatch.setattr(bestfit, "OFFERED", 30)
+    monkeypatch.setattr(bestfit, "OFFERED", 50)
     monkeypatch.setattr(bestfit, "FAN", 3)
     rng = random.Random(7)
     sizes = {"mixed": lambda: rng.randint(1, 99), "large": lambda: rng.randint(34, 66), "equal": lambda: 51}[kind]
@@ -287,11 +288,19 @@ def test_exchange_between_partitions(spark, monkeypatch, kind):
     bound = bestfit.lower_bound(np.bincount(list(size.values()), minlength=101))
     one = int(bestfit.best_fit(np.array(list(size.values())), 100).max()) + 1
     apart = sum(int(bestfit.best_fit(np.array([n for u, n in items if u % 17 == k]), 100).max()) + 1 for k in range(17))
-    assert bound <= bins <= max(one * 1.03, bound) and bins <= apart
+    assert bound <= bins <= max(one * 1.04, bound) and bins <= apart  # partitions of 60 pieces are far too small
     if kind == "equal":
         assert bins == bound == 1000
 
 
+def test_production_partitions_are_close_to_the_bound(spark):
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(1, 4096, 12_000), np.minimum(4095, rng.lognormal(6, 1, 12_000).astype(int) + 1)):
+        got = bestfit.placed(spark.createDataFrame(list(enumerate(sizes.tolist())), "uid long, length long")).collect()
+        bins = len(check_sequences([(r.bin, r.offset, int(sizes[r.uid])) for r in got]))
+        assert bins <= 1.005 * bestfit.lower_bound(np.bincount(sizes, minlength=4097))
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert bestfit.best_fit(np.array([7, 5, 3, 5, 1]), 10).tolist() == [0, 1, 0, 1, 2]
     table = bestfit.repacked(np.array([9, 4, 8]), np.array([60, 60, 40]), None, 100, last=True)
