@@ -25,12 +25,83 @@ OFFERED = 4000
 ROUNDINGS = 24
 
 
-@lru_cache(maxsize=2)
-def tokenizer(vocabulary: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+#: Words whose ids a task remembers before it begins anew, how many new ones are encoded at a time, and characters of
+#: the texts that are encoded together.
+REMEMBERED, AT_ONCE, TOGETHER = 500_000, 2000, 1_000_000
+
+
+def stem(word: bytes) -> tuple[bytes, ...]:
+    """A word in ASCII lower case, and apart from a point or comma right behind a letter: both have the same ids there.
+
+    An added token is matched before letters are lowered, so a word that may hold one stays as it is.
+    """
+    if b"<|" in word:
+        return (word,)
+    low = word.lower()
+    return (low[:-1], low[-1:]) if low[-1:] in (b".", b",") and low[-2:-1].isalpha() else (low,)
+
 
-    return Tokenizer.from_file(vocabulary)
+class Encoder:
+    """Ids of whole texts by the `tokenizers` JSON, word by word.
+
+    The vocabulary drops white space, and neither its words nor its added tokens hold any, so the ids of a text are
+    those of its stretches between ASCII white space, one after another. Each stretch is encoded by the library once
+    and then remembered. With a vocabulary that keeps white space or capitals whole texts are encoded instead.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(vocabulary)
+        probe, words = "Ab, b\tc\n\x0b\x0cd\r e.", ["ab", ",", "b", "c", "d", "e", "."]
+        self.by_word = self.ids(probe) == b"".join(map(self.ids, words))
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words are encoded many at a time; a token belongs to the word that its place lies in."""
+        texts = [w.decode() for w in words]
+        found = self.whole.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.searchsorted([at for at, _ in found.offsets], starts).tolist()
+        data = np.array(found.ids, "<u4")
+        for word, a, b in zip(words, cuts, cuts[1:], strict=False):
+            self.known[word] = data[a:b].tobytes()
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            yield from map(self.ids, texts)
+            return
+        held, size = [], 0
+        for text in texts:
+            held.append(text.encode().split())
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {w: stem(w) for w in set().union(*texts) if w not in self.known}
+        unknown = [w for w in {part for parts in new.values() for part in parts} if w not in self.known]
+        for i in range(0, len(unknown), AT_ONCE):
+            self._learn(unknown[i : i + AT_ONCE])
+        for word, parts in new.items():
+            if word not in self.known:
+                self.known[word] = b"".join(map(self.known.__getitem__, parts))
+        for words in texts:
+            yield b"".join(map(self.known.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def default_vocabulary() -> str:
@@ -50,15 +121,15 @@ def pieces(
         schema = schema.append(pa.field("ids", pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary).encode_batch_fast
+        encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for table in rows_of(batches):
             out = [[] for _ in schema.names]
             texts = table.column("data").to_pylist()
-            for doc_id, found in zip(table.column("doc_id").to_pylist(), encode(texts, add_special_tokens=False), strict=True):
-                ids = np.array([*found.ids, end_id], dtype="<u4")
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    row = (doc_id, n, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))
+            for doc_id, ids in zip(table.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
+                for n, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    row = (doc_id, n, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4"))
                     for values, x in zip(out, row, strict=False):
                         values.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
