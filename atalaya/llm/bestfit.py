@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +26,22 @@ OFFERED = 4000
 ROUNDINGS = 24
 
 
-#: Words whose ids a task remembers before it begins anew, how many new ones are encoded at a time, and characters of
-#: the texts that are encoded together.
-REMEMBERED, AT_ONCE, TOGETHER = 500_000, 2000, 1_000_000
+#: Words whose ids a task remembers before it begins anew, and how many new ones are encoded at a time.
+REMEMBERED, AT_ONCE = 1_000_000, 2000
+#: What the last token of a word of letters ends with in the vocabulary.
+WORD_END = "</w>"
 
 
-def stem(word: bytes) -> tuple[bytes, ...]:
-    """A word in ASCII lower case, and apart from a point or comma right behind a letter: both have the same ids there.
+def stem(word: str) -> tuple[str, str]:
+    """A word in lower case, and apart a point or comma right behind a letter: both have the same ids there.
 
-    An added token is matched before letters are lowered, so a word that may hold one stays as it is.
+    Only ASCII words are taken apart; an added token is matched before letters are lowered, so a word that may hold
+    one stays as it is.
     """
-    if b"<|" in word:
-        return (word,)
+    if not word.isascii() or "<|" in word:
+        return word, ""
     low = word.lower()
-    return (low[:-1], low[-1:]) if low[-1:] in (b".", b",") and low[-2:-1].isalpha() else (low,)
+    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[-2:-1].isalpha() else (low, "")
 
 
 class Encoder:
@@ -56,47 +59,50 @@ class Encoder:
         self.whole = Tokenizer.from_file(vocabulary)
         probe, words = "Ab, b\tc\n\x0b\x0cd\r e.", ["ab", ",", "b", "c", "d", "e", "."]
         self.by_word = self.ids(probe) == b"".join(map(self.ids, words))
-        self.known: dict[bytes, bytes] = {}
+        entries = self.whole.get_vocab()
+        self.ends = np.zeros(max(entries.values()) + 1, bool)
+        self.ends[[i for token, i in entries.items() if token.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Words are encoded many at a time; a token belongs to the word that its place lies in."""
-        texts = [w.decode() for w in words]
-        found = self.whole.encode(" ".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cuts = np.searchsorted([at for at, _ in found.offsets], starts).tolist()
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters are encoded many at a time, as each has one last token; if their number is another, one by one."""
+        (found,) = self.whole.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         data = np.array(found.ids, "<u4")
-        for word, a, b in zip(words, cuts, cuts[1:], strict=False):
-            self.known[word] = data[a:b].tobytes()
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if not self.by_word:
-            yield from map(self.ids, texts)
+        cuts = (4 * np.flatnonzero(self.ends[data]) + 4).tolist()
+        if len(cuts) != len(words):
+            self.known.update(zip(words, map(self.ids, words), strict=True))
             return
-        held, size = [], 0
-        for text in texts:
-            held.append(text.encode().split())
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._joined(held)
-                held, size = [], 0
-        yield from self._joined(held)
-
-    def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        whole, start = data.tobytes(), 0
+        for word, end in zip(words, cuts, strict=True):
+            self.known[word] = whole[start:end]
+            start = end
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = {w: stem(w) for w in set().union(*texts) if w not in self.known}
-        unknown = [w for w in {part for parts in new.values() for part in parts} if w not in self.known]
-        for i in range(0, len(unknown), AT_ONCE):
-            self._learn(unknown[i : i + AT_ONCE])
-        for word, parts in new.items():
+        parts = list(map(stem, words))
+        new = [w for w in {w for pair in parts for w in pair} if w not in self.known]
+        letters = [w for w in new if w.isalpha()]
+        for i in range(0, len(letters), AT_ONCE):
+            self._learn(letters[i : i + AT_ONCE])
+        for word in new:
             if word not in self.known:
-                self.known[word] = b"".join(map(self.known.__getitem__, parts))
-        for words in texts:
-            yield b"".join(map(self.known.__getitem__, words))
+                self.known[word] = self.ids(word)
+        known = self.known
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return list(map(self.ids, texts.to_pylist()))
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._ids_of_words(coded.dictionary.to_pylist()), pa.large_binary())
+        per_text = pa.LargeListArray.from_arrays(words.offsets.cast(pa.int64()), ids.take(coded.indices))
+        return pc.binary_join(per_text, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +130,7 @@ def pieces(
         encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for table in rows_of(batches):
             out = [[] for _ in schema.names]
-            texts = table.column("data").to_pylist()
+            texts = table.column("data").combine_chunks()
             for doc_id, ids in zip(table.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids += end
                 for n, start in enumerate(range(0, len(ids), 4 * capacity)):
