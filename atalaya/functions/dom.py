@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atalaya.functions.markup import Markup
 from atalaya.functions.selectors import Compound, parse
 from atalaya.functions.text import BLANKS, strip
 
@@ -40,18 +41,10 @@ ENDS = {
 }
 
 
-# Comment, tag with well-quoted attributes, any other tag, declaration.
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|$)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>
-    |<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>
-    |<[!?][^>]*>""",
-    re.S | re.X,
-)
 ATTRIBUTE = re.compile(
     r"""([^\s=/"'>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?"""
 )
-RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title")}
+RAW = {"script", "style", "textarea", "title"}
 
 
 class _Nodes:
@@ -64,6 +57,7 @@ class _Nodes:
         self.attrs: list[list[tuple[str, str]]] = []
         self.text: list[str | None] = []
         self.open: list[int] = []
+        self.opened: dict[str, int] = {}  # open elements by tag
         self._read(html)
         self._close(0)
 
@@ -83,9 +77,12 @@ class _Nodes:
     def _close(self, depth: int) -> None:
         for at in self.open[depth:]:
             self.last[at] = len(self.tag) - 1
+            self.opened[self.tag[at]] -= 1
         del self.open[depth:]
 
     def _end(self, tag: str) -> None:
+        if not self.opened.get(tag):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.tag[self.open[depth]] == tag:
                 self._close(depth)
@@ -100,23 +97,23 @@ class _Nodes:
         at = self._add(tag, list(named.items()), None)
         if tag not in VOID:
             self.open.append(at)
+            self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def _read(self, html: str) -> None:
-        at = 0
-        while found := TOKEN.search(html, at):
-            self._add_text(html[at : found.start()])
-            at = found.end()
-            tag = found["tag"] or found["tag2"]
-            if not tag:
+        at, markup = 0, Markup(html)
+        while found := markup.next(at):
+            self._add_text(html[at : found.start])
+            at = found.end
+            if not found.tag:
                 continue
-            tag = tag.lower()
-            if found["end"] or found["end2"]:
+            tag = found.tag.lower()
+            if found.closing:
                 self._end(tag)
                 continue
-            self._start(tag, found["attrs"] if found["tag"] else found["attrs2"])
+            self._start(tag, found.attributes)
             if tag in RAW:
-                stop = RAW[tag].search(html, at)
-                raw = html[at : stop.start() if stop else len(html)]
+                stop = markup.end_of(tag, at)
+                raw = html[at : stop[0] if stop else len(html)]
                 at += len(raw)
                 self._add_text(raw)
         self._add_text(html[at:])
