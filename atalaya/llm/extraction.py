@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atalaya.functions.markup import Markup
 from atalaya.llm.common import rows_of, whole_text
 
 #: Lines that one window sums over.
@@ -35,10 +36,8 @@ HINTS = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>""", re.S
-)
-ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A name begins where its stretch of name characters does, so a long stretch without a value is read once.
+ATTRIBUTE = re.compile(r"""(?<![^\s"'=<>/])([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[a-z]+")
 NO_LETTERS = re.compile(r"[\W_]+")
 
@@ -65,6 +64,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
     parts: list[str] = []
     loose = at = articles = link = 0
     dropped, depth = "", 0
+    markup = Markup(page, quoted_only=True, sections=True)
 
     def end_line() -> None:
         nonlocal loose
@@ -81,20 +81,17 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
             loose += 0 if link else len(NO_LETTERS.sub("", text))
 
     while True:
-        found = MARKUP.search(page, at)
-        add(html.unescape(page[at : found.start() if found else len(page)]))
+        found = markup.next(at)
+        add(html.unescape(page[at : found.start if found else len(page)]))
         if not found:
             break
-        at = found.end()
-        cdata, closing, tag, attributes = found.groups()
-        if cdata:
-            add(cdata)
+        at, tag, closing, attributes = found.end, found.tag.lower(), found.closing, found.attributes
+        add(found.content)
         if not tag:
             continue
-        tag = tag.lower()
         if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else at if attributes.rstrip().endswith("/") else len(page)
+            end = markup.end_of(tag, at)
+            at = end[1] if end and end[1] <= len(page) else at if attributes.rstrip().endswith("/") else len(page)
             continue
         if tag == "br":
             add(" ")

@@ -47,6 +47,22 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(vocabulary: str):
+    """The JSON form that lies beside a rank file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(os.path.splitext(vocabulary)[0] + ".json")
+
+
+def ids_of(text: str, vocabulary: str) -> list[int]:
+    """Ids by the rank file; its pattern gives up on about a million blanks in a row, and the JSON form reads such texts."""
+    try:
+        return encoder(vocabulary).encode(text, allowed_special="all")  # a literal added token is one id
+    except ValueError:
+        return whole_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     """n as full sequences and then the binary digits of what is left, largest first."""
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n % longest >> k & 1]
@@ -63,7 +79,7 @@ def pieces(
     numbers = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = partial(encoder(vocabulary).encode, allowed_special="all")  # a literal added token is one id
+        encode = partial(ids_of, vocabulary=vocabulary)
         for table in rows_of(batches):
             out, kept = [[], [], [], [], []], []
             for doc_id, text in zip(table.column("doc_id").to_pylist(), table.column("data").to_pylist(), strict=True):
