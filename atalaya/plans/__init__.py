@@ -2,7 +2,7 @@
 
 
 def _load():
-    from atalaya.plans import captures, registry, rows, state, streams  # noqa: F401
+    from atalaya.plans import captures, registry, rows, state, stored, streams  # noqa: F401
 
     return registry
 
