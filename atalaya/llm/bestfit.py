@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,21 +28,34 @@ ROUNDINGS = 24
 
 
 #: Words whose ids a task remembers before it begins anew, and how many new ones are encoded at a time.
-REMEMBERED, AT_ONCE = 1_000_000, 2000
+REMEMBERED, AT_ONCE = 600_000, 2000
+#: Bytes of the texts that are encoded together.
+TOGETHER = 8_000_000
 #: What the last token of a word of letters ends with in the vocabulary.
 WORD_END = "</w>"
 
 
-def stem(word: str) -> tuple[str, str]:
-    """A word in lower case, and apart a point or comma right behind a letter: both have the same ids there.
+#: An ASCII word without an apostrophe falls into these parts, whatever stands beside them.
+PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+LATIN = "\u0180"
 
-    Only ASCII words are taken apart; an added token is matched before letters are lowered, so a word that may hold
-    one stays as it is.
+
+def stems(word: str) -> tuple[str, ...]:
+    """A word in lower case, cut where the vocabulary's pattern cuts it in any case: the ids are those of its parts.
+
+    Letters, single digits and runs of other characters are apart. Beyond ASCII only a point or comma behind a letter
+    is cut off, and only Latin letters are lowered. An added token is matched before letters are lowered, so a word
+    that may hold one stays as it is.
     """
-    if not word.isascii() or "<|" in word:
-        return word, ""
-    low = word.lower()
-    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[-2:-1].isalpha() else (low, "")
+    if "<|" in word:
+        return (word,)
+    if word.isascii():
+        low = word.lower()
+        return (low,) if low.isalpha() or "'" in low else tuple(PARTS.findall(low))
+    if max(word) < LATIN:
+        low = word.lower()
+        return (low[:-1], low[-1]) if low[-1] in ".," and low[-2:-1].isalpha() else (low,)
+    return (word,)
 
 
 class Encoder:
@@ -83,16 +97,15 @@ class Encoder:
     def _ids_of_words(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        parts = list(map(stem, words))
-        new = [w for w in {w for pair in parts for w in pair} if w not in self.known]
+        parts, known = list(map(stems, words)), self.known
+        new = [w for w in {w for own in parts for w in own} if w not in known]
         letters = [w for w in new if w.isalpha()]
         for i in range(0, len(letters), AT_ONCE):
             self._learn(letters[i : i + AT_ONCE])
         for word in new:
-            if word not in self.known:
-                self.known[word] = self.ids(word)
-        known = self.known
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
+            if word not in known:
+                known[word] = self.ids(word)
+        return [known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own)) for own in parts]
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -128,7 +141,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        for table in rows_of(batches):
+        for table in rows_of(batches, TOGETHER):
             out = [[] for _ in schema.names]
             texts = table.column("data").combine_chunks()
             for doc_id, ids in zip(table.column("doc_id").to_pylist(), encode(texts), strict=True):
