@@ -30,7 +30,7 @@ ROUNDINGS = 24
 #: Words whose ids a task remembers before it begins anew, and how many new ones are encoded at a time.
 REMEMBERED, AT_ONCE = 600_000, 2000
 #: Bytes of the texts that are encoded together.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 #: What the last token of a word of letters ends with in the vocabulary.
 WORD_END = "</w>"
 
