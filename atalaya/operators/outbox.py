@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from atalaya.functions.amounts import amount_text
 from atalaya.functions.text import stable_key
 
-MAX_CHANNELS = 10_000
+#: Channels in one array value.
+CHANNEL_BLOCK = 10_000
 
 
 def notifiable_events(events: DataFrame, new_calls: DataFrame) -> DataFrame:
@@ -145,14 +146,18 @@ def notification_fanout(events: DataFrame, channels: DataFrame) -> DataFrame:
 
     The channel settings travel as one array value next to each event (a
     scalar subquery) and are exploded there: no join, no shuffle of events.
-    Their number is checked; a table beyond the bound stops the job.
+    More than CHANNEL_BLOCK channels are dealt over blocks of about that many,
+    and events meet each block by a join on its number.
     """
+    active = active_channels(channels)
+    blocks = -(-active.count() // CHANNEL_BLOCK)
     gathered = F.sort_array(F.collect_list(F.struct("pos", "canal", "destinatario")))
-    checked = F.when(F.size(gathered) <= MAX_CHANNELS, gathered).otherwise(
-        F.raise_error(F.lit("too many notification channels for one value"))
-    )
-    listed = active_channels(channels).agg(checked.alias("canales"))
-    rows = events.withColumn("c", F.explode(listed.scalar()))
+    if blocks <= 1:
+        rows = events.withColumn("c", F.explode(active.agg(gathered).scalar()))
+    else:
+        listed = active.groupBy(F.pmod(F.xxhash64("pos"), F.lit(blocks)).alias("_bloque")).agg(gathered.alias("_canales"))
+        dealt = events.withColumn("_bloque", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        rows = dealt.join(listed, "_bloque").withColumn("c", F.explode("_canales"))
     relevant, ready = F.col("es_relevante"), F.col("c.destinatario").isNotNull()
     return rows.select(
         *events.columns,
