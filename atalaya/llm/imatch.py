@@ -71,7 +71,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
     the next one, so that no row needs another task.
 
     Terms are counted exactly: a range tells each of its terms once, with the number of its documents, to the task
-    of the term's lot, and gets back which of them are in the band. Terms that an edit alone has are asked for too.
+    of the term's lot, and gets back one bit for each, whether it is in the band. Terms that an edit alone has are asked for too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -103,15 +103,23 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
         edited = [t[: len(t) - h] + following[:h] for t, following, h in zip(texts, texts[1:], halves, strict=False)]
         return own, *([t.encode("utf-8", "surrogatepass") for t in x] for x in (texts, edited))
 
-    def count_terms(table: pa.Table) -> pa.Table:
-        own, texts, edited = texts_of(table)
+    def terms_of(own: list, texts: list[bytes], edited: list[bytes]) -> tuple:
+        """Hashes per text and per edited text, and the range's distinct terms by lot with the number of its documents that hold each.
+
+        Equal input gives equal order, so a range knows what it sent when the answers come.
+        """
+        hashes = [term_hashes(t) for t in texts]
+        changed = [h if data == t else term_hashes(data) for h, t, data in zip(hashes, texts, edited, strict=False)]
         none = [np.zeros(0, np.uint64)]
-        held, n = np.unique(np.concatenate([*none, *map(term_hashes, texts[: len(own)])]), return_counts=True)
-        asked = np.setdiff1d(np.concatenate([*none, *map(term_hashes, [*texts[len(own) :], *edited])]), held)
+        held, n = np.unique(np.concatenate([*none, *hashes[: len(own)]]), return_counts=True)
+        asked = np.setdiff1d(np.concatenate([*none, *hashes[len(own) :], *changed]), held)
         terms, n = np.concatenate([held, asked]), np.concatenate([n, np.zeros(len(asked), n.dtype)])
         part = (mixed(terms) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        terms, n, part = terms[order], n[order], part[order]
+        return hashes, changed, terms[order], n[order], part[order]
+
+    def count_terms(table: pa.Table) -> pa.Table:
+        *_, terms, n, part = terms_of(*texts_of(table))
         cuts = np.flatnonzero(np.diff(part)) + 1
         split = [x for x in zip(*(np.split(x, cuts) for x in (part, terms, n)), strict=True) if len(x[0])]
         kinds = (("part", pa.int32()), ("lot", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary()))
@@ -119,31 +127,34 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
         return _table([(int(p[0]), lot, t.tobytes(), c.astype("<u4").tobytes()) for p, t, c in split], *kinds)
 
     def in_band(table: pa.Table) -> pa.Table:
+        """One bit for each term sent, in the order sent."""
         told = [np.frombuffer(x, np.uint64) for x in table.column("terms").to_pylist()]
         values, which = np.unique(np.concatenate(told), return_inverse=True)
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()])
         n = np.bincount(which, counts, len(values))
         chosen = values[(n >= LEAST_DOCUMENTS) & (n <= most)]
-        out = [(lot, t[is_among(t, chosen)].tobytes()) for lot, t in zip(table.column("lot").to_pylist(), told, strict=True)]
-        return _table(out, ("lot", pa.int32()), ("band", pa.binary()))
+        keys = zip(table.column("lot").to_pylist(), table.column("part").to_pylist(), told, strict=True)
+        out = [(lot, part, np.packbits(is_among(t, chosen)).tobytes()) for lot, part, t in keys]
+        return _table(out, ("lot", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()))
 
     def compare(table: pa.Table, told: pa.Table) -> pa.Table:
-        flags = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told.column("band").to_pylist())]))
         own, texts, edited = texts_of(table)
-        prints, edits, out = [], [], []
-        for t in texts:
-            prints.append(fingerprint(term_hashes(t), flags))
+        hashes, changed, terms, _, part = terms_of(own, texts, edited)
+        bits = dict(zip(told.column("part").to_pylist(), told.column("bits").to_pylist(), strict=True))
+        sent = zip(*(x.tolist() for x in np.unique(part, return_counts=True)), strict=True)
+        masks = [np.unpackbits(np.frombuffer(bits[p], np.uint8), count=size) for p, size in sent]
+        flags = np.sort(terms[np.concatenate([np.zeros(0, np.uint8), *masks]).astype(bool)])
+        prints, out = [fingerprint(h, flags) for h in hashes], []
         for i, row in enumerate(own):
-            data = edited[i]
-            edits.append(fingerprint(term_hashes(data), flags) if data != texts[i] else prints[i])
+            edit = prints[i] if changed[i] is hashes[i] else fingerprint(changed[i], flags)
             out.append(
                 (
                     row[3],
                     len(row[2]),
-                    hashlib.sha256(data).hexdigest(),
+                    hashlib.sha256(edited[i]).hexdigest(),
                     written(prints[i]),
-                    written(edits[i]),
-                    likeness(prints[i], edits[i]),
+                    written(edit),
+                    likeness(prints[i], edit),
                     likeness(prints[i], prints[i + 1]),
                 )
             )
@@ -153,7 +164,7 @@ def compared_with_edits(docs: DataFrame) -> DataFrame:
 
     dealt = rows.mapInArrow(deal, "doc_id long, text string, place long, lot int, tail boolean")
     counted = dealt.groupBy("lot").applyInArrow(count_terms, "part int, lot int, terms binary, counts binary")
-    band = counted.groupBy("part").applyInArrow(in_band, "lot int, band binary")
+    band = counted.groupBy("part").applyInArrow(in_band, "lot int, part int, bits binary")
     return dealt.groupBy("lot").cogroup(band.groupBy("lot")).applyInArrow(
         compare,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
