@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,6 +59,20 @@ def _compare_versions(fields: list[str]):
     return compare
 
 
+def rendered(versions: DataFrame, fields: list[str], call_id: Column | None = None) -> DataFrame:
+    """Versions as a state step reads them: texts of the fields, the capture time, and an order for equal times."""
+    order = F.sha2(F.concat_ws("\x1f", *[F.col(f).cast("string") for f in fields]), 256)
+    return versions.select(
+        *[F.col(k).cast("string").alias(k) for k in KEY],
+        (stable_key(*[F.col(k) for k in KEY]) if call_id is None else call_id.cast("string")).alias("convocatoria_id"),
+        F.col("fecha_captura").cast("timestamp").alias("instante"),
+        F.unix_millis(F.col("fecha_captura").cast("timestamp")).alias("milis"),
+        F.date_format("fecha_captura", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_captura"),
+        order.alias("orden"),
+        *[F.expr(render(f).format(f)).alias(f) for f in fields],
+    )
+
+
 def stream_changes(
     versions: DataFrame,
     fields: list[str] = fixed.COMPARED_FIELDS,
@@ -72,16 +86,7 @@ def stream_changes(
     retention runs on capture time: a processing-time timeout would keep an
     ``availableNow`` run going forever.
     """
-    order = F.sha2(F.concat_ws("\x1f", *[F.col(f).cast("string") for f in fields]), 256)
-    rows = versions.select(
-        *[F.col(k).cast("string").alias(k) for k in KEY],
-        stable_key(*[F.col(k) for k in KEY]).alias("convocatoria_id"),
-        F.col("fecha_captura").cast("timestamp").alias("instante"),
-        F.unix_millis(F.col("fecha_captura").cast("timestamp")).alias("milis"),
-        F.date_format("fecha_captura", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_captura"),
-        order.alias("orden"),
-        *[F.expr(render(f).format(f)).alias(f) for f in fields],
-    )
+    rows = rendered(versions, fields)
     state = ", ".join(f"{f} string" for f in ["fecha_captura", *fields])
     timed = rows.withWatermark("instante", f"{retention_days} days")
     events = timed.groupBy(*KEY).applyInPandasWithState(
