@@ -9,7 +9,7 @@ from atalaya.plans.registry import query
 from atalaya.plans.tables import cte, read
 from atalaya.session import shared_folder
 from atalaya.streaming import captures as streams
-from atalaya.streaming import changes
+from atalaya.streaming import changes, stored_changes
 
 C = F.col
 
@@ -100,3 +100,61 @@ def stream_changes(spark, d):
     return spark.read.parquet(f"{out}/datos").select(
         KEY[1], "tipo", "fecha_captura", fields.alias("campos")
     )
+
+
+def _landed_in_lots(rows, ready, out: str, lots: int) -> None:
+    """Rows as files that come one after the other, by when each is ready (seconds)."""
+    low, high = rows.agg(F.min(ready), F.max(ready)).first()
+    if low is None:
+        rows.write.parquet(f"{out}/0")
+        return
+    lot = F.least(F.floor((ready - low) * lots / (high - low + 1)), F.lit(lots - 1))
+    for number in range(lots):
+        rows.where(lot == number).coalesce(1).write.parquet(f"{out}/{number}")
+
+
+#: Stored calls are the last versions before this time; the stream brings the versions from then on.
+STORED_UNTIL = "2024-01-10 00:00:00"
+
+
+@query(
+    "stream_changes_initial",
+    f"""with v as (select user_id, event_id, event_type as titulo, case when value < 20 then 'ABIERTO' else 'CERRADO' end as estado, ts from events),
+        x as (select *, lag(titulo) over w as t, lag(estado) over w as e, row_number() over w as n,
+        max(case when ts < timestamp '{STORED_UNTIL}' then event_id end) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding) is not null as conocida
+        from v window w as (partition by user_id order by ts))
+        select cast(user_id as varchar) as identificador_externo, case when n = 1 then 'APERTURA' else 'MODIFICACION' end as tipo, ts as fecha_captura,
+        case when n = 1 then '' else concat_ws(',', case when t <> titulo then 'titulo' end, case when e <> estado then 'estado' end) end as campos,
+        conocida from x where (n = 1 or t <> titulo or e <> estado) and ts >= timestamp '{STORED_UNTIL}'
+        and epoch_ms(ts) <= (select epoch_ms(max(ts)) from events) - 86400000""",
+)
+def stream_changes_initial(spark, d):
+    """Versions come up to twenty hours late in four lots, a trigger each; the state begins as the stored calls and waits for a day."""
+    out = shared_folder(spark, "initial")
+    versions = read(spark, d, "events").select(
+        F.lit("portal").alias(KEY[0]),
+        C("user_id").cast("string").alias(KEY[1]),
+        C("ts").alias("fecha_captura"),
+        C("event_type").alias("titulo"),
+        F.when(C("value") < 20, "ABIERTO").otherwise("CERRADO").alias("estado"),
+        F.concat(F.lit("guardada-"), C("user_id").cast("string")).alias("id"),
+    )
+    cut = F.lit(STORED_UNTIL).cast("timestamp_ntz")
+    stored = versions.where(C("fecha_captura") < cut).groupBy(*KEY).agg(
+        *[F.max_by(c, "fecha_captura").alias(c) for c in ("titulo", "estado", "id")], F.max("fecha_captura").alias("fecha_captura")
+    )
+    new = versions.where(C("fecha_captura") >= cut).drop("id")
+    seconds = F.unix_timestamp(C("fecha_captura").cast("timestamp"))
+    _landed_in_lots(new, seconds + F.pmod(F.xxhash64(*KEY, "fecha_captura"), F.lit(20)) * 3600, f"{out}/llegadas", 4)
+    landed = streams.landed_stream(spark, f"{out}/llegadas/*", new.schema, max_files=1)
+    events = stored_changes.stream_changes_stored(landed, stored, FIELDS[:2], delay="1 day")
+    _finish(
+        events.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/datos/lote={n}"))
+        .outputMode("append")
+        .option("checkpointLocation", f"{out}/control")
+        .trigger(availableNow=True)
+        .start()
+    )
+    fields = F.array_join(F.transform("deltas", lambda x: x.campo), ",")
+    known = C("convocatoria_id").startswith("guardada-")
+    return spark.read.parquet(f"{out}/datos").select(KEY[1], "tipo", "fecha_captura", fields.alias("campos"), known.alias("conocida"))
