@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from atalaya.operators.changes import KEY
 from atalaya.plans.registry import query
-from atalaya.plans.tables import cte, read
+from atalaya.plans.tables import VIEWS, cte, read
 from atalaya.session import shared_folder
 from atalaya.streaming import captures as streams
-from atalaya.streaming import changes, stored_changes
+from atalaya.streaming import changes, pages, stored_changes
 
 C = F.col
 
@@ -158,3 +159,43 @@ def stream_changes_initial(spark, d):
     fields = F.array_join(F.transform("deltas", lambda x: x.campo), ",")
     known = C("convocatoria_id").startswith("guardada-")
     return spark.read.parquet(f"{out}/datos").select(KEY[1], "tipo", "fecha_captura", fields.alias("campos"), known.alias("conocida"))
+
+
+_STOPS = {
+    "short": "coalesce(least(min(page) filter (n_items < 20), min(page - 1) filter (n_items is null)), max(page))",
+    "total": "least(greatest(coalesce(max(total_pages) filter (page = 1), 1), 1), min(page) filter (n_items = 0))",
+    "found": "coalesce(least(case when max(found) filter (page = 1) > 0 then cast(ceil((max(found) filter (page = 1)) / 10.0) as int) end, min(page) filter (html = '') - 1), max(page))",
+}
+_DAY_MS = 86_400_000
+
+
+def _stream_pages(name: str, rule):
+    """Pages up to twenty hours late in four lots, a trigger each; of several copies of a page one lands."""
+    sql = f"""{cte('paginas').replace(' from lineitem', ", timestamp '2020-01-01 00:00:00' + to_hours(cast(l_orderkey % 9600 + l_linenumber * 7 % 20 as int)) as fecha_captura, "
+        "row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity) as copia from lineitem")},
+        unicas as (select *, row_number() over (partition by fuente_id order by page) = page as seguida from paginas where copia = 1),
+        x as (select fuente_id, {_STOPS[name]} as u, epoch_ms(max(fecha_captura)) + {_DAY_MS} <= (select epoch_ms(max(fecha_captura)) from unicas) - {_DAY_MS} as cerrada
+        from unicas group by 1) select cast(fuente_id as varchar) as fuente_id, cast(page as bigint) as page from unicas join x using (fuente_id) where page <= u and (seguida or cerrada)"""
+
+    @query(f"stream_pages_{name}", sql)
+    def run(spark, d):
+        out = shared_folder(spark, "pages")
+        lines = read(spark, d, "lineitem")
+        copy = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+        hours = C("l_orderkey") % 9600 + C("l_linenumber") * 7 % 20
+        shaped = [F.expr(e).alias(c) for c, e in VIEWS["paginas"][1].items()]
+        when = F.timestamp_seconds(F.lit(1_577_836_800) + hours * 3600).cast("timestamp_ntz").alias("fecha_captura")
+        once = lines.withColumn("copia", F.row_number().over(copy)).where("copia = 1").select(*shaped, when)
+        late = F.pmod(F.xxhash64("run_id", "page"), F.lit(20)) * 3600
+        _landed_in_lots(once, F.unix_timestamp(C("fecha_captura").cast("timestamp")) + late, f"{out}/llegadas", 4)
+        landed = streams.landed_stream(spark, f"{out}/llegadas/*", once.schema, max_files=1)
+        kept = pages.stream_pages(landed, rule(), delay="1 day", quiet_hours=24)
+        _finish(streams.run_to_parquet(kept, f"{out}/datos", f"{out}/control"))
+        return spark.read.parquet(f"{out}/datos").select("fuente_id", "page")
+
+    return run
+
+
+_stream_pages("short", lambda: pages.short_pages(20))
+_stream_pages("total", pages.declared_total)
+_stream_pages("found", pages.found_count)

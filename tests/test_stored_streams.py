@@ -2,9 +2,13 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from atalaya.sources import paging
 from atalaya.streaming import captures as streams
+from atalaya.streaming import pages
 from atalaya.streaming.stored_changes import last_versions, stream_changes_stored
 
 VERSION = "fuente_id string, identificador_externo string, fecha_captura timestamp_ntz, titulo string, estado string"
@@ -74,3 +78,38 @@ def test_state_leaves_after_the_retention(spark, tmp_path):
         run(stream_changes_stored(stream, none, ["titulo", "estado"], delay="0 seconds", retention_days=5), out, ck)
     found = spark.read.parquet(out).groupBy("identificador_externo").agg(F.count("*").alias("n")).collect()
     assert {r.identificador_externo: r.n for r in found} == {"a": 2, "b": 2}
+
+
+PAGE = "fuente_id string, run_id string, page int, n_items int, total_pages int, found int, html string, fecha_captura timestamp_ntz"
+RULES = {
+    "short": (lambda: pages.short_pages(20), lambda df, most: paging.consolidate_pages_short(df, 20, most)),
+    "total": (pages.declared_total, paging.consolidate_pages_total),
+    "found": (pages.found_count, paging.consolidate_pages_found),
+}
+
+
+@pytest.mark.parametrize(("kind", "most"), [("short", None), ("total", None), ("found", None), ("short", 3)])
+def test_pages_in_any_order(spark, tmp_path, kind, most):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def p(run, page, items=20, total=None, found=None, html="x", on=1):
+        return ("f", run, page, items, total, found, html, day(on))
+
+    lots = [
+        [p("a", 2), p("a", 1, total=3, found=25), p("b", 3), p("c", 1, 5, 1, 4, on=2), p(None, 1, 20, 2), p("g", 2), p("h", 1, None, 4, 30, "")],
+        [p("a", 4, on=2), p("b", 1, 20, 9, 0, on=2), p("c", 2, on=2), p("d", 1, 0, 7, 100, on=2), p("e", None), p("a", 2, on=2), p("g", 4, 3, on=2)],
+        [p("a", 3, 7, on=2), p("b", 4, 0, html="", on=2), p("b", 5, on=2), p("d", 2, on=2), p("a", 5, on=2), p("z", 1, 1, 1, 1, "x", 20), p("z", 3, 20, on=20)],
+    ]
+    early = None
+    for lot in lots:
+        spark.createDataFrame(lot, PAGE).coalesce(1).write.mode("append").parquet(src)
+        stream = streams.landed_stream(spark, src, spark.createDataFrame([], PAGE).schema)
+        run(pages.stream_pages(stream, RULES[kind][0](), most, "1 day", 24), out, ck)
+        early = early or sorted((r.run_id, r.page) for r in spark.read.parquet(out).collect() if r.run_id)
+    got = [(r.run_id, r.page) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got))  # each page once, over restarts
+    every = spark.createDataFrame([r for lot in lots for r in lot], PAGE)
+    want = {(r.run_id, r.page) for r in RULES[kind][1](every.where("page is not null and coalesce(run_id, '') <> 'z'"), most).collect()}
+    assert {x for x in got if x[0] not in ("z", None)} == want
+    assert (None, 1) in got and ("z", 1) in got and ("z", 3) not in got
+    assert ("b", 3) not in early and (("a", 2) in early)
