@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from atalaya.operators import mutate
+from atalaya.operators import mutate, rollups
 from atalaya.operators.changes import KEY
 from atalaya.plans import state  # noqa: F401  (its checks are used here)
 from atalaya.plans.registry import CHECKS, query
 from atalaya.plans.tables import AS_OF, cte, view
 from atalaya.session import shared_folder
+from atalaya.sources import lookups
 from atalaya.sources import store as stores
 
 C = F.col
@@ -84,3 +85,42 @@ def delete_versioned(spark, d):
         source = C("fuente_id") if "fuente_id" in rows.columns else F.lit(None)
         parts.append(rows.select(F.lit(table).alias("tabla"), C("id").cast("bigint").alias("id"), source.cast("bigint").alias("fuente_id")))
     return mutate.union_items(*parts)
+
+
+@query(
+    "lookup_call_pruned",
+    f"{cte('convocatorias')} select id, titulo, estado from convocatorias where id = (select max(id) from convocatorias)",
+)
+def lookup_call_pruned(spark, d):
+    """The key of the newest call, found again in a layout of sixteen folders; its neighbour's key is absent."""
+    calls = view(spark, d, "convocatorias")
+    path = shared_folder(spark, "lookups")
+    lookups.write_lookup(calls, path, KEY, 16)
+    newest = calls.agg(F.max_by(F.struct(*KEY), "id").alias("clave")).select("clave.*").first()
+    absent = (newest[0], f"{newest[1]}-0")
+    return lookups.lookup(spark, path, calls.schema, KEY, newest, absent, buckets=16).select("id", "titulo", "estado")
+
+
+@query(
+    "window_counts_merged",
+    f"""{cte('convocatorias')}, x as (select region, count(*) as total, count(*) filter (estado = 'ABIERTO') as abiertas, count(*) filter (estado = 'CERRADO') as cerradas
+        from convocatorias where cast(fecha_cierre as date) between date '1997-01-01' and date '1998-06-30' or fecha_cierre is null group by 1)
+        select *, true as instituciones_bien from x""",
+)
+def window_counts_merged(spark, d):
+    """Partials of old and new calls merged, then one window of days; the sources' estimate is held against their exact number."""
+    calls = view(spark, d, "convocatorias")
+    counts = {"total": None, "abiertas": C("estado") == "ABIERTO", "cerradas": C("estado") == "CERRADO"}
+    old, new = (
+        rollups.daily_partials(part, "fecha_cierre", ["region"], counts, {"instituciones": "fuente_id"})
+        for part in (calls.where("id % 3 = 0"), calls.where("id % 3 > 0"))
+    )
+    path = shared_folder(spark, "partials")
+    rollups.merge_partials(old, new, ["region"]).write.parquet(path)
+    found = rollups.over_window(spark.read.parquet(path), "1997-01-01", "1998-06-30", ["region"], undated=True)
+    inside = C("fecha_cierre").cast("date").between("1997-01-01", "1998-06-30") | C("fecha_cierre").isNull()
+    exact = calls.where(inside).groupBy("region").agg(F.count_distinct("fuente_id").alias("exactas"))
+    error = 3 * 1.04 / 2 ** (rollups.LG_K / 2)
+    right = F.abs(C("instituciones") - C("exactas")) <= F.greatest(C("exactas") * error, F.lit(1))
+    both = found.alias("f").join(exact.alias("e"), C("f.region").eqNullSafe(C("e.region")))
+    return both.select("f.region", "total", "abiertas", "cerradas", right.alias("instituciones_bien"))
