@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from atalaya import fixed_values as fixed
 from atalaya.functions import amounts, dates, status, text, urls
-from atalaya.operators import changes, filters, normalize
+from atalaya.operators import changes, filters, normalize, pattern_index
 from atalaya.plans.registry import query
 from atalaya.plans.tables import AS_OF, cte, read, view
 
@@ -451,3 +451,33 @@ def lookup_call(spark, d):
 @query("search_sources", f"{cte('fuentes')} select id, nombre from fuentes where contains(lower(nombre), 'r#00000012')")
 def search_sources(spark, d):
     return filters.search_sources(view(spark, d, "fuentes"), "R#00000012").select("id", "nombre")
+
+
+@query(
+    "exclude_by_index",
+    """with i as (select l_orderkey, l_linenumber, l_partkey, l_suppkey as fuente_id, l_returnflag || ' ' || p_name as titulo,
+        'https://x.example.org/' || p_type || '/' || p_partkey || '.PDF' as url_detalle from lineitem join part on p_partkey = l_partkey),
+        t as (select distinct fuente_id, titulo from i),
+        x as (select distinct fuente_id, titulo from t join part q on q.p_partkey % 101 = fuente_id % 101 where contains(lower(titulo), lower(q.p_name)))
+        select i.* from i join supplier on s_suppkey = fuente_id where not exists (select 1 from x where x.fuente_id = i.fuente_id and x.titulo = i.titulo)
+        and not (s_acctbal < 0 and regexp_matches(titulo, '^(a|r) |s.+ring$', 'i'))
+        and not (s_acctbal > 8000 and contains(lower(url_detalle), 'economy'))""",
+)
+def exclude_by_index(spark, d):
+    """Each source excludes a share of all part names, some of them also patterns without a needed text, some URL parts."""
+    none = F.array().cast("array<string>")
+    named = read(spark, d, "part").groupBy((C("p_partkey") % 101).alias("resto")).agg(F.collect_list(F.upper("p_name")).alias("nombres"))
+    rules = read(spark, d, "supplier").join(named, C("s_suppkey") % 101 == C("resto"), "left").select(
+        C("s_suppkey").alias("fuente_id"),
+        F.concat(
+            F.coalesce("nombres", none), F.when(C("s_acctbal") < 0, F.array(F.lit("^(a|r) "), F.lit("S.+RING$"))).otherwise(none)
+        ).alias("excluir_patrones_titulo"),
+        F.when(C("s_acctbal") > 8000, F.array(F.lit("Economy"))).otherwise(none).alias("excluir_patrones_url"),
+    )
+    items = read(spark, d, "lineitem").join(read(spark, d, "part"), C("p_partkey") == C("l_partkey")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", C("l_suppkey").alias("fuente_id"),
+        F.concat_ws(" ", "l_returnflag", "p_name").alias("titulo"),
+        F.concat(F.lit("https://x.example.org/"), "p_type", F.lit("/"), C("p_partkey").cast("string"), F.lit(".PDF")).alias("url_detalle"),
+    )
+    known = items.join(rules.select("fuente_id"), "fuente_id", "left_semi")
+    return pattern_index.exclude_by_index(known, rules).select(*items.columns)

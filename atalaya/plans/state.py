@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atalaya.operators import attempts, changes, dedupe, mutate, outbox, reports, serving
+from atalaya.operators import attempts, changes, dedupe, mutate, observed, outbox, reports, serving
 from atalaya.plans.monitor import monitor_run
 from atalaya.plans.registry import query
 from atalaya.plans.rows import DAYS_SQL, DUCK_EXCLUDED, ITEM_STAGES, NOW, duck_liveness, item_rules
 from atalaya.plans.tables import AS_OF, alerts, cte, read, view
+from atalaya.session import shared_folder
 
 C = F.col
 ITEM_KEY = ["fuente_id", "identificador"]
@@ -238,6 +239,18 @@ def run_summary(spark, d):
     return _monitor(spark, d).summary()
 
 
+@query(
+    "run_counts_observed",
+    f"""{RUN_SQL} select count(*) as leidas, count(*) filter (motivo is null) as nuevas_encontradas,
+        count(*) filter (motivo = 'normalizacion') as descartadas_normalizacion, count(*) filter (motivo = 'relevancia') as descartadas_relevancia,
+        count(*) filter (motivo = 'vigencia') as descartadas_vigencia, cast(0 as bigint) as descartadas_otras from etapas""",
+)
+def run_counts_observed(spark, d):
+    """Counts of a run from the one write of its stages; nothing is read again."""
+    counts = observed.write_observed(_monitor(spark, d).stages, shared_folder(spark, "run"))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} bigint" for name in counts))
+
+
 # --- joins ------------------------------------------------------------------------
 @query(
     "calls_with_source",
