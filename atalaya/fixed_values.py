@@ -86,10 +86,10 @@ EXCLUDED_TITLES = [
 FUNDING_SIGNALS = [
     r"fondo|fondos|financiamiento|cofinanciamiento|subsidio|subvenci[óo]n",
     r"capital\s+semilla|semilla\s+(inicia|expande|abre)|crece|innova|emprende",
-    r"concurso\s+(de\s+)?(proyecto|innovaci[óo]n|emprendimiento|startup|i\+d|investigaci[óo]n)",
+    r"concurso\s+(de\s+)?(proyecto|innovaci[óo]n|emprendimiento|startup|i+d|i\+d|investigaci[óo]n)",
     r"programa\s+(de\s+)?(financiamiento|fondos|subsidio|apoyo|fomento|inversi[óo]n|desarrollo)",
     r"beca\s+(de\s+)?(investigaci[óo]n|postdoctoral|doctorado|mag[ií]ster)",
-    r"proyecto\s+(de\s+)?(i\+d|innovaci[óo]n|investigaci[óo]n|emprendimiento)",
+    r"proyecto\s+(de\s+)?(i\+d|i+d|innovaci[óo]n|investigaci[óo]n|emprendimiento)",
     r"convocatoria\s+(de\s+)?(fondos|financiamiento|proyecto|investigaci[óo]n|innovaci[óo]n)",
 ]
 TITLE_YEAR = r"\b(20[0-2]\d)\b"

@@ -95,6 +95,12 @@ def test_relevance(spark):
     assert values(spark, dropped + kept, filters.is_excluded_title) == [True] * 8 + [False] * 4
 
 
+def test_funding_signals(spark):
+    signal = lambda c: filters.has_funding_signal(c, F.lit(None).cast("string"))
+    titles = ["concurso id", "Proyecto de iid", "concurso i+d", "proyecto i+d", "concurso de ideas", "proyecto vial"]
+    assert values(spark, titles, signal) == [True, True, True, True, False, False]
+
+
 def test_title_years(spark):
     recent = lambda c: filters.title_year_is_recent(c, "2026-06-02 12:00:00")
     assert values(spark, ["Fondo 2026", "Fondo 2024", "Fondo", "2026 y 2019", "N° 20231"], recent) == [
